@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import exact_dedup, mixing, ngram_join, secrets, sharding
+from callweave.llm import exact_dedup, hmm_lm, mixing, ngram_join, secrets, sharding
 from callweave.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"))
 

@@ -44,11 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash for each word of the text, in order."""
+def word_spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's 64-bit hash, start and end, in order, and the text's bytes."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), raw
     code = _TABLE[raw]
     inside = np.empty(len(raw) + 2, dtype=bool)
     inside[0] = inside[-1] = False
@@ -57,7 +57,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(code * _power_table(_BYTE_P, len(raw)), out=total[1:])
-    return mix((total[end] - total[start]) * _power_table(_INV, len(raw))[start])
+    return mix((total[end] - total[start]) * _power_table(_INV, len(raw))[start]), start, end, raw
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One 64-bit hash for each word of the text, in order."""
+    return word_spans(text)[0]
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
