@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import exact_dedup, hmm_lm, mixing, ngram_join, secrets, sharding
+from callweave.llm import crf_langid, exact_dedup, hmm_lm, mixing, multi_index, ngram_join, secrets, sentencepiece_codec, sharding, url_filter
 from callweave.llm.common import read
 
 
@@ -22,11 +22,27 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_langid.predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(read(spark, sf_dir, "documents"), "doc_id", "text")
     return secrets.digest(found).withColumnRenamed("path", "doc_id").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

@@ -1,2 +1,61 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to token ids: five stages over the whole corpus.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callweave.llm import common, crf_langid, exact_dedup, mixing, ngram_join, sentencepiece_codec
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in a language: those without a letter, or null, are undetermined and go."""
+    labelled = crf_langid.with_language(docs)
+    if docs.where("lang is not null and text is not null").isEmpty():
+        # nothing to learn from: only what has no letter can be rejected
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    return labelled.where(F.col("_lang_pred") != crf_langid.UNDETERMINED).drop("_lang_pred")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of equal texts (A-Z lower-cased) the row with the largest doc_id."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each class of near duplicates the row with the smallest doc_id."""
+    classes = ngram_join.similarity_classes(docs)
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target takes it, in training order."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row."""
+    return sentencepiece_codec.encode_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates), ("mixing", mix), ("encoding", encode)]
+
+#: SQL cannot express the learned and probabilistic stages.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    at = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{at}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{at}/{name}")
+    return docs
