@@ -1,7 +1,8 @@
 """Scaled forward and backward recursions over many label chains at once (numpy only).
 
 Chains lie one after another in flat arrays.  Sorted by falling length, the chains that are still running at step t
-are the first ones, so a step is one matrix operation over all of them.
+are the first ones.  The recursions work on arrays in time order: all first items, then all second items, and so on, so
+a step is one matrix operation on a contiguous slice.
 """
 
 from __future__ import annotations
@@ -36,40 +37,51 @@ def running(lengths: np.ndarray) -> np.ndarray:
     return len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
 
 
-def forward(lengths: np.ndarray, emit: np.ndarray, first: np.ndarray, move: np.ndarray, keep: bool = True):
-    """alpha (scaled to sum 1 per item), the scales of all items, and each chain's log likelihood.
+def time_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each item of the chains (by falling length) stands in time order, and where each step begins."""
+    step = np.append(0, np.cumsum(running(lengths)))
+    rank = np.repeat(np.arange(len(lengths)), lengths)
+    t = np.arange(len(rank)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return step[t] + rank, step
 
-    lengths: falling; emit: a row of non-negative weights per item; first, move: start and transition weights.
+
+def forward(step: np.ndarray, emit: np.ndarray, first: np.ndarray, move: np.ndarray, keep: bool = True):
+    """alpha (scaled to sum 1 per item; None unless kept) and the scale of every item, in time order.
+
+    emit: a row of non-negative weights per item, in time order; first, move: start and transition weights.
     """
-    start = np.cumsum(lengths) - lengths
     alpha = np.empty_like(emit) if keep else None
-    scale = np.empty(len(emit))
-    log = np.zeros(len(lengths))
+    scale = np.empty(len(emit), dtype=emit.dtype)
     state = None
-    for t, n in enumerate(running(lengths)):
-        at = start[:n] + t
-        state = emit[at] * (first if t == 0 else state[:n] @ move)
+    for t in range(len(step) - 1):
+        lo, hi = step[t], step[t + 1]
+        state = emit[lo:hi] * (first if t == 0 else state[: hi - lo] @ move)
         c = state.sum(1)
         state /= c[:, None]
-        log[:n] += np.log(c)
-        scale[at] = c
+        scale[lo:hi] = c
         if keep:
-            alpha[at] = state
-    return alpha, scale, log
-
-
-def backward(lengths: np.ndarray, emit: np.ndarray, move: np.ndarray, alpha: np.ndarray, scale: np.ndarray):
-    """Posteriors of all items and the summed expected transition counts."""
-    start = np.cumsum(lengths) - lengths
-    gamma = alpha.copy()
-    pairs = np.zeros_like(move)
-    live = running(lengths)
-    beta = np.ones((len(lengths), move.shape[0]))
-    for t in range(len(live) - 1, 0, -1):
-        n = live[t]
-        at = start[:n] + t
-        ahead = emit[at] * beta[:n] / scale[at][:, None]
-        pairs += alpha[at - 1].T @ ahead
-        beta[:n] = ahead @ move.T
-        gamma[at - 1] *= beta[:n]
-    return gamma, pairs * move
+            alpha[lo:hi] = state
+    return alpha, scale
+
+
+def log_likelihoods(step: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The log likelihood of each chain from the scales."""
+    rank = np.arange(len(scale)) - np.repeat(step[:-1], np.diff(step))
+    return np.bincount(rank, weights=np.log(scale.astype(np.float64)))
+
+
+def backward(step: np.ndarray, emit: np.ndarray, move: np.ndarray, alpha: np.ndarray, scale: np.ndarray):
+    """Turns alpha into the posteriors of all items, in place; returns the summed expected transition counts."""
+    pairs = np.zeros(move.shape)
+    ahead = emit / scale[:, None]
+    back = np.ascontiguousarray(move.T)
+    beta = np.ones((step[1] if len(step) > 1 else 0, move.shape[0]), dtype=emit.dtype)
+    for t in range(len(step) - 2, 0, -1):
+        lo, hi = step[t], step[t + 1]
+        n = hi - lo
+        w = ahead[lo:hi] * beta[:n]
+        before = alpha[step[t - 1] : step[t - 1] + n]
+        pairs += before.T @ w
+        beta[:n] = w @ back
+        before *= beta[:n]
+    return pairs * move

@@ -116,8 +116,12 @@ def posteriors(crf: Crf, f: Features, lengths: np.ndarray) -> np.ndarray:
     offsets = np.cumsum(lengths) - lengths
     for part in chain.chunks(lengths):
         at = chain.gather(offsets, lengths, part)
-        alpha, scale, _ = chain.forward(lengths[part], emit[at], first, move)
-        out[at] = chain.backward(lengths[part], emit[at], move, alpha, scale)[0]
+        place, step = chain.time_order(lengths[part])
+        e = np.empty((len(at), emit.shape[1]))
+        e[place] = emit[at]
+        gamma, scale = chain.forward(step, e, first, move)
+        chain.backward(step, e, move, gamma, scale)
+        out[at] = gamma[place]
     return out
 
 
@@ -163,8 +167,12 @@ def fit(runs: list[tuple[str, str]], seed: int = 3, epochs: int = 3, rate: float
             off = np.cumsum(lengths) - lengths
             idx = chain.gather(off, lengths, own)
             first, move = np.exp(crf.start), np.exp(crf.move)
-            alpha, scale, _ = chain.forward(lengths[own], emit[idx], first, move)
-            gamma, pairs = chain.backward(lengths[own], emit[idx], move, alpha, scale)
+            place, step = chain.time_order(lengths[own])
+            e = np.empty((len(idx), k))
+            e[place] = emit[idx]
+            gamma, scale = chain.forward(step, e, first, move)
+            pairs = chain.backward(step, e, move, gamma, scale)
+            gamma = gamma[place]
             y = gold[at]
             diff = np.zeros((len(at), k))
             diff[idx] = -gamma

@@ -10,7 +10,8 @@ States.  The hidden states emit word classes: each word with at least 1/2048 of
 smoothed counts.  So log10 P(text) is the forward likelihood of the class chain plus, for each word of a shared
 class, log10((c + 0.1) / (n + 0.1 (v + 1))) with the class's tokens n and distinct words v.
 
-Training.  Each Baum-Welch round runs forward-backward over all training texts; a task adds up its own expected
+Training.  A few first rounds see a fixed share (1/8) of the training texts, which moves the random start to where the
+data are; the rounds after them see all.  Each Baum-Welch round runs forward-backward over its texts; a task adds up its own expected
 counts, in fixed point so that their sum does not depend on the order, and only parameter-sized sums meet.
 """
 
@@ -27,7 +28,7 @@ from callweave.llm import chain, common
 from callweave.llm.shingles import mix, word_spans
 
 HEAD, OWN, SHARED = 65_536, 2_048, 256
-STATES, ROUNDS = 8, 4
+STATES, WARM, ROUNDS = 8, 4, 2
 SMOOTH = 0.1
 _FIXED = float(1 << 20)
 END = int(mix(np.array([0xE0F], dtype=np.uint64)).view(np.int64)[0])
@@ -114,17 +115,18 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray) -> t
     k = len(model.first)
     offsets = np.cumsum(lengths) - lengths
     first, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
-    for part in chain.chunks(lengths):
-        own = classes[chain.gather(offsets, lengths, part)]
-        n = lengths[part]
-        e = model.emit[own]
-        alpha, scale, ll = chain.forward(n, e, model.first, model.move)
-        gamma, pairs = chain.backward(n, e, model.move, alpha, scale)
-        first += gamma[np.cumsum(n) - n].sum(0)
-        move += pairs
+    table, start, go = (x.astype(np.float32) for x in (model.emit, model.first, model.move))
+    for part in chain.chunks(lengths, 1 << 19):
+        place, step = chain.time_order(lengths[part])
+        own = np.empty(len(place), dtype=np.int64)
+        own[place] = classes[chain.gather(offsets, lengths, part)]
+        e = table[own]
+        gamma, scale = chain.forward(step, e, start, go)
+        move += chain.backward(step, e, go, gamma, scale)
+        first += gamma[: step[1]].sum(0)
         for s in range(k):
             emit[:, s] += np.bincount(own, weights=gamma[:, s], minlength=len(emit))
-        log += ll.sum()
+        log += float(np.log(scale.astype(np.float64)).sum())
     return np.concatenate([first, move.ravel(), emit.ravel()]), log
 
 
@@ -150,9 +152,8 @@ def _expected(model):
         total, log = None, 0.0
         for batch in batches:
             raw = batch.column(0).to_pylist()
-            for lo in range(0, len(raw), 2000):
-                part = raw[lo : lo + 2000]
-                counts, ll = expected_counts(model.value, np.frombuffer(b"".join(part), dtype=np.uint16), np.array([len(x) // 2 for x in part], dtype=np.int64))
+            if raw:
+                counts, ll = expected_counts(model.value, np.frombuffer(b"".join(raw), dtype=np.uint16), np.array([len(x) // 2 for x in raw], dtype=np.int64))
                 total, log = counts if total is None else total + counts, log + ll
         if total is not None:
             at = np.flatnonzero(total)
@@ -162,13 +163,15 @@ def _expected(model):
     return run
 
 
-def train(chains: DataFrame, classes: int, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> tuple[Model, list[float]]:
-    """Baum-Welch over a table of class chains; also the training log likelihood before each round."""
+def train(chains: DataFrame, classes: int, states: int = STATES, warm: int = WARM, rounds: int = ROUNDS, seed: int = 5) -> tuple[Model, list[float]]:
+    """Baum-Welch over a table of class chains, `warm` rounds of them over an eighth; also each round's log likelihood."""
     model, logs = initial(classes, states, seed), []
     sc = chains.sparkSession.sparkContext
-    for _ in range(rounds):
+    eighth = chains.where(F.pmod(F.xxhash64("classes"), F.lit(8)) == 0)
+    for k in range(warm + rounds):
         sent = sc.broadcast(model)
-        sums = chains.mapInArrow(_expected(sent), "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(30,0)")).cast("double").alias("v")).toPandas()
+        seen = eighth if k < warm else chains
+        sums = seen.mapInArrow(_expected(sent), "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(30,0)")).cast("double").alias("v")).toPandas()
         counts = np.zeros(states + states**2 + classes * states)
         at, val = sums["i"].to_numpy(), sums["v"].to_numpy(float) / _FIXED
         counts[at[at >= 0]] = val[at >= 0]
@@ -186,15 +189,18 @@ def _scored(vocab, model):
         for batch in batches:
             v, m = vocab.value, model.value
             rows, ids, held, texts = (batch.column(k).to_pylist() for k in range(4))
-            for lo in range(0, len(texts), 1000):
-                h, shared, lengths = _flat(texts[lo : lo + 1000])
+            for lo in range(0, len(texts), 4000):
+                h, shared, lengths = _flat(texts[lo : lo + 4000])
                 at = v.find(h)
                 cls = v.classes(at, shared)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 offsets = np.cumsum(lengths) - lengths
                 log = np.zeros(len(lengths))
                 for part in chain.chunks(lengths):
-                    log[part] = chain.forward(lengths[part], m.emit[cls[chain.gather(offsets, lengths, part)]], m.first, m.move, keep=False)[2]
+                    place, step = chain.time_order(lengths[part])
+                    own = np.empty(len(place), dtype=np.int64)
+                    own[place] = cls[chain.gather(offsets, lengths, part)]
+                    log[part] = chain.log_likelihoods(step, chain.forward(step, m.emit[own], m.first, m.move, keep=False)[1])
                 log /= np.log(10)
                 in_head = at >= 0
                 c = np.where(in_head, v.head_n[at] if len(v.head) else 0, 0)
@@ -227,7 +233,7 @@ def _scored(vocab, model):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, states: int = STATES, warm: int = WARM, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(id as text) modulo `folds` is not 0 (a null id counts as the empty text, whose
@@ -243,7 +249,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     vocab = vocabulary(words)
     sent = sc.broadcast(vocab)
     chains = common.stored(train_rows.mapInArrow(_as_classes(sent), "classes binary"), "chains")
-    model, _ = train(chains, vocab.own + SHARED, states, rounds)
+    model, _ = train(chains, vocab.own + SHARED, states, warm, rounds)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(_scored(sent, sc.broadcast(model)), _SCORED)
     # rows without a word look up a key of their own, which spreads them
