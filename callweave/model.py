@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
@@ -31,13 +32,12 @@ def schema(table: str) -> StructType:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """df with the columns and types of the current schema: columns an older writer lacked are null."""
-    want = schema(table)
-    empty = df.sparkSession.createDataFrame([], want)
-    return empty.unionByName(df, allowMissingColumns=True).select(*want.names)
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)])
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame([], schema(table))
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema(table)])
 
 
 class Facts(dict):

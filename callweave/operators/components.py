@@ -30,7 +30,10 @@ def _coloured(e: DataFrame) -> DataFrame:
         colour = stored(nodes.withColumn("c", F.col("id")), "colour")
         while True:
             low = e.join(colour, e.src == colour.id).groupBy("dst").agg(F.min("c").alias("m"))
-            new = stored(colour.join(low, colour.id == low.dst, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c")), "colour")
+            new = colour.join(low, colour.id == low.dst, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
+            # what reaches a node's colour reaches the node: the colour of the colour is a short cut
+            jump = colour.select(F.col("id").alias("c"), F.col("c").alias("j"))
+            new = stored(new.join(jump, "c").select("id", F.least("c", "j").alias("c")), "colour")
             moved = not new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old").isEmpty()
             colour = new
             if not moved:
