@@ -13,7 +13,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from callweave.llm import common
 
@@ -24,7 +23,7 @@ RULES = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 SPAN = "array<struct<start:int,kind_no:int,end:int>>"
-LEDGER = StructType.fromDDL(f"blob string, rules string, spans {SPAN}")
+LEDGER = f"blob string, rules string, spans {SPAN}"
 
 
 def rule_version(rules: dict = RULES) -> str:
