@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.model import Facts
+from callweave.operators.storage import stored
 
 LANGS = ("python", "javascript", "php", "ruby", "go")
 #: Ids of class rows stand above those of parts.
@@ -94,8 +95,9 @@ def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str, *names: str) -> Facts:
+    """The named fact tables, or all; like the facts of an index they are tables in storage, which plans read many times."""
     made = {"symbols": symbols, "refs": refs, "assigns": assigns, "imports": imports, "hooks": hooks}
-    return Facts(spark, **{t: made[t](spark, sf_dir) for t in names or made})
+    return Facts(spark, **{t: stored(made[t](spark, sf_dir), t) for t in names or made})
 
 
 # --- a sparse graph ---

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from callweave import snapshot as S
 from callweave.functions import languages as L
@@ -73,10 +72,10 @@ class TreeChanges(DataSource):
     def name(cls) -> str:
         return "tree_changes"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL(CHANGES)
+    def schema(self) -> str:
+        return CHANGES
 
-    def simpleStreamReader(self, schema: StructType) -> _Reader:
+    def simpleStreamReader(self, schema) -> _Reader:
         return _Reader(self.options["root"])
 
 
