@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callweave import snapshot as S
 from callweave.functions import languages as L
 from callweave.operators import aggregates, centrality, changes, components, lookups, traverse
+from callweave.operators.storage import stored
 from callweave.sources import discovery as D
 
 
@@ -137,7 +138,7 @@ class DependencyGraph:
 
     def _hook_context(self, seeds: list) -> list[str]:
         names = {s["id"]: self._label(s) for s in seeds}
-        own = self.table("hooks").join(F.broadcast(self._seeds(seeds)).withColumnRenamed("id", "callback_symbol"), "callback_symbol") if len(seeds) <= 100_000 else self.table("hooks").join(self._seeds(seeds).withColumnRenamed("id", "callback_symbol"), "callback_symbol")
+        own = self.table("hooks").join(self._seeds(seeds).withColumnRenamed("id", "callback_symbol"), "callback_symbol")
         out = []
         for h in own.orderBy("file", "line", "id").collect():
             tag = "UNAUTH ENTRY" if h["unauth"] else "ENTRY" if h["entry_point"] else h["hook_class"]
@@ -184,7 +185,7 @@ class DependencyGraph:
         if not states:
             return {"root": self.root, "changed_files": 0, "deltas": []}
         before = lookups.edge_labels(self.table("edges"), self.table("symbols"))
-        before = self._held(before)
+        before = stored(before, "before")  # the index below replaces what it reads
         done = self.index()
         if done.get("locked"):
             return {"root": self.root, "changed_files": len(states), "deltas": [], **done}
@@ -197,11 +198,6 @@ class DependencyGraph:
                 deltas.append({"file": f, "state": state, "added": list(diff[f]["added"]) if f in diff else [], "removed": list(diff[f]["removed"]) if f in diff else []})
         return {"root": self.root, "changed_files": len(deltas), "content_changes": len(states), "deltas": deltas}
 
-    def _held(self, df: DataFrame) -> DataFrame:
-        from callweave.operators.storage import stored
-
-        return stored(df, "before")
-
     # --- hooks ---
     def hooks(self, name: str = "", entry_points: bool = False) -> dict:
         hooks, symbols = self.table("hooks"), self.table("symbols")

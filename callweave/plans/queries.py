@@ -257,4 +257,4 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     f = T.facts(spark, sf, "refs", "assigns")
     f["symbols"] = s.withColumn("end_byte", F.lit(0).cast("long")).withColumn("end_line", F.lit(0)).withColumn("signature", F.lit(""))
     edges = stored(R.call_edges(R.resolve_refs(f)), "edges")
-    return traverse.callers(edges, s, s.where("kind = 'class'"), 3).select("seed", "id", "symbol", "depth")
+    return traverse.callers(edges, s, s.where("kind = 'function'"), 3).select("seed", "id", "symbol", "depth")

@@ -12,10 +12,11 @@ def spark(tmp_path_factory):
 
     s = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.shuffle.partitions", "1")
         .config("spark.default.parallelism", "4")
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.adaptive.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")

@@ -45,6 +45,3 @@ def check_partition(f, edges, lost):
         assert len(set(tiers)) == 1
         assert (len(tiers) == 1) == (tiers[0] in ("exact", "inferred"))
 
-
-def only(*tiers):
-    return set(tiers)
