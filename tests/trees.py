@@ -19,8 +19,11 @@ def graph(spark, tree):
     """(edge map {(caller, callee): set of tiers}, {(caller, callee name)} unresolved, facts, hooks with callbacks)."""
     f = facts(spark, tree)
     r = stored(resolve_refs(f), "resolved")
-    hooks, hook_edges = resolve_hooks(f)
-    edges = stored(call_edges(r).unionByName(hook_edges), "edges")
+    hooks, calls = f.hooks, call_edges(r)
+    if not hooks.isEmpty():
+        hooks, hook_edges = resolve_hooks(f)
+        calls = calls.unionByName(hook_edges)
+    edges = stored(calls, "edges")
     lost = stored(unresolved_calls(r), "lost")
     check_partition(f, edges, lost)
     s = f.symbols.select("id", label(F.col("container"), F.col("name")).alias("label"), F.col("file").alias("in_file"))
