@@ -88,12 +88,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows with a null id stay, for nothing tells which of them is meant.
     """
-    keep = exact_groups(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).distinct()
+    kept = exact_groups(docs, id_col, text_col, **options).where("kept and doc_id is not null")
+    keep = kept.groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg((F.count("*") > 1).alias("_many"))
     tagged = docs.withColumn("_s0", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    stay = tagged.join(keep, (tagged[id_col] == keep["_k"]) & (tagged["_s0"] == keep["_s"]), "left_semi")
-    # only rows that repeat an id can be more than one: a partial aggregate on the id finds them without the texts
-    twice = stay.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_k"))
-    single = stay.join(twice, stay[id_col] == twice["_k"], "left_anti")
-    several = stay.join(twice, stay[id_col] == twice["_k"], "left_semi").dropDuplicates([id_col, "_s0"])
+    # both branches read one shuffle of the documents; only rows that repeat an id are gathered again
+    stay = tagged.join(keep, (tagged[id_col] == keep["_k"]) & (tagged["_s0"] == keep["_s"]))
+    single = stay.where("not _many").select(tagged.columns)
+    several = stay.where("_many").select(tagged.columns).dropDuplicates([id_col, "_s0"])
     nulls = tagged.where(F.col(id_col).isNull())
     return single.unionByName(several).unionByName(nulls).drop("_s0")
