@@ -1,5 +1,6 @@
 """Each operator on odd rows, against plain Python."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -10,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from callweave.llm import chain, crf_langid, exact_dedup, hmm_lm, mixing, ngram_join, secrets, sentencepiece_codec, sharding
+from callweave.llm import chain, crf_langid, exact_dedup, hmm_lm, mixing, ngram_join, queries, secrets, sentencepiece_codec, sharding
 from callweave.llm.common import connected_components
 from callweave.llm.shingles import shingle_set, word_hashes
 from tests.llm.cases import empty, frame, lower, odd_rows, prose, sha
@@ -412,3 +413,23 @@ def test_positions_invert_the_schedule(spark):
     df = spark.createDataFrame(rows, "start double, end double, t double, share double")
     for r in df.withColumn("at", mixing.position(df.share, df.start, df.end)).collect():
         assert math.isclose(r["at"], r["t"], abs_tol=1e-9)
+
+
+def test_the_registered_mix_tells_the_training_order(spark, tmp_path):
+    rows = odd_rows() + [(2000 + i, prose(i, 5 + i % 90), "en", f"s{i % 4}", 1) for i in range(200)]
+    frame(spark, rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_mixing(spark, str(tmp_path)).collect()
+    order = [(r["position"] is None, r["position"] or 0.0, r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert len(got) == len(rows) and order == sorted(order)
+    names = [*sorted({r[3] for r in rows if r[3] is not None}), None]
+    by, source = {r["doc_id"]: r for r in got}, {r[0]: r[3] for r in rows}
+    for s in (s for s in names if s not in ("a", None)):
+        start, end = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))[names.index(s) % 3]
+        at = 0
+        for i in sorted((i for i in source if source[i] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            r = by[i]
+            for k, t in enumerate((r["position"], r["position2"])):
+                assert (t is None) == (r["copies"] <= k)
+                # the schedule's integral up to the position is the share of the target read before the copy
+                assert t is None or math.isclose((start * t + (end - start) * t * t / 2) * r["target"], at + k * r["source_size"], rel_tol=1e-9, abs_tol=1e-6)
+            at += r["size"]
