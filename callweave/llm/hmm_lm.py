@@ -10,9 +10,9 @@ States.  The hidden states emit word classes: each word with at least 1/2048 of
 smoothed counts.  So log10 P(text) is the forward likelihood of the class chain plus, for each word of a shared
 class, log10((c + 0.1) / (n + 0.1 (v + 1))) with the class's tokens n and distinct words v.
 
-Training.  A few first rounds see a fixed share (1/8) of the training texts, which moves the random start to where the
-data are; the rounds after them see all.  Each Baum-Welch round runs forward-backward over its texts; a task adds up its own expected
-counts, in fixed point so that their sum does not depend on the order, and only parameter-sized sums meet.
+Training.  Each Baum-Welch round runs forward-backward over all training texts; a task adds up its own expected
+counts, in fixed point so that their sum does not depend on the order, and only parameter-sized sums meet.  Without
+training texts the model stays the initial one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from callweave.llm import chain, common
 from callweave.llm.shingles import mix, word_spans
 
 HEAD, OWN, SHARED = 65_536, 2_048, 256
-STATES, WARM, ROUNDS = 8, 4, 2
+STATES, ROUNDS = 8, 6
 SMOOTH = 0.1
 _FIXED = float(1 << 20)
 END = int(mix(np.array([0xE0F], dtype=np.uint64)).view(np.int64)[0])
@@ -163,21 +163,21 @@ def _expected(model):
     return run
 
 
-def train(chains: DataFrame, classes: int, states: int = STATES, warm: int = WARM, rounds: int = ROUNDS, seed: int = 5) -> tuple[Model, list[float]]:
-    """Baum-Welch over a table of class chains, `warm` rounds of them over an eighth; also each round's log likelihood."""
+def train(chains: DataFrame, classes: int, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> tuple[Model, list[float]]:
+    """Baum-Welch over a table of class chains; also the training log likelihood before each round."""
     model, logs = initial(classes, states, seed), []
     sc = chains.sparkSession.sparkContext
-    eighth = chains.where(F.pmod(F.xxhash64("classes"), F.lit(8)) == 0)
-    for k in range(warm + rounds):
+    for _ in range(rounds):
         sent = sc.broadcast(model)
-        seen = eighth if k < warm else chains
-        sums = seen.mapInArrow(_expected(sent), "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(30,0)")).cast("double").alias("v")).toPandas()
+        sums = chains.mapInArrow(_expected(sent), "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(30,0)")).cast("double").alias("v")).toPandas()
+        sent.unpersist()
+        if sums.empty:
+            break  # no chains, so no counts to maximise on
         counts = np.zeros(states + states**2 + classes * states)
         at, val = sums["i"].to_numpy(), sums["v"].to_numpy(float) / _FIXED
         counts[at[at >= 0]] = val[at >= 0]
         logs.append(float(val[at < 0].sum()))
         model = maximised(counts, classes, states)
-        sent.unpersist()
     return model, logs
 
 
@@ -233,7 +233,7 @@ def _scored(vocab, model):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, states: int = STATES, warm: int = WARM, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(id as text) modulo `folds` is not 0 (a null id counts as the empty text, whose
@@ -249,7 +249,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     vocab = vocabulary(words)
     sent = sc.broadcast(vocab)
     chains = common.stored(train_rows.mapInArrow(_as_classes(sent), "classes binary"), "chains")
-    model, _ = train(chains, vocab.own + SHARED, states, warm, rounds)
+    model, _ = train(chains, vocab.own + SHARED, states, rounds)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(_scored(sent, sc.broadcast(model)), _SCORED)
     # rows without a word look up a key of their own, which spreads them

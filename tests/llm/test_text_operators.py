@@ -166,6 +166,25 @@ def test_scores(spark):
     assert {r["score"] for r in got if r["doc_id"] in (4, 5, 6)} == {next(r["score"] for r in got if r["doc_id"] == 4)}
 
 
+def test_every_round_sees_all_training_chains(spark):
+    rng = np.random.default_rng(3)
+    chains = [rng.integers(0, 8, 12).astype(np.uint16) for _ in range(40)] + [np.arange(8, dtype=np.uint16)] * 20
+    model, logs = hmm_lm.train(spark.createDataFrame([(c.tobytes(),) for c in chains], "classes binary"), 8, 2)
+    want, lengths = hmm_lm.initial(8, 2), np.array([len(c) for c in chains])
+    assert len(logs) >= 4
+    for log in logs:
+        counts, whole = hmm_lm.expected_counts(want, np.concatenate(chains), lengths)
+        assert math.isclose(log, whole, rel_tol=1e-4)
+        want = hmm_lm.maximised(counts, 8, 2)
+    assert np.allclose(model.emit, want.emit, atol=1e-3) and np.allclose(model.move, want.move, atol=1e-3)
+
+
+def test_nothing_is_maximised_without_chains(spark):
+    model, logs = hmm_lm.train(spark.createDataFrame([], "classes binary"), 8, 2)
+    start = hmm_lm.initial(8, 2)
+    assert logs == [] and (model.emit == start.emit).all() and (model.move == start.move).all() and (model.first == start.first).all()
+
+
 def test_scores_of_nothing(spark):
     assert hmm_lm.score(empty(spark)).collect() == []
 
