@@ -71,8 +71,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     Null texts and texts of white space have size 0; null sources are one source.  A source of size 0 has target 0
     and no copies.  Rows that repeat an id stand side by side in the order.  An empty table gives no rows.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    d = common.stored(d, "mix-sizes")
+    d = docs.select(F.lit(None).cast("long").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
+    return _planned(common.stored(d, "mix-sizes"), **options).drop("row")
+
+
+def _planned(d: DataFrame, **options) -> DataFrame:
+    """The plan of a stored table (row, doc_id, source, size, tie); row passes through, tie orders what else is equal."""
     ranges = max(1, -(-d.count() // ROWS_PER_RANGE))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     d = d.withColumn("_h", order).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
@@ -81,7 +85,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), **options)
     before = sums.withColumn("_off", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     small = before.join(targets, before.source.eqNullSafe(targets.source)).select(before.source.alias("_s"), F.col("_b").alias("_b2"), "_off", "source_size", "target", "start", "end")
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     x = d.join(small, d.source.eqNullSafe(small["_s"]) & (d["_b"] == small["_b2"]))
     x = x.withColumn("_at", F.col("_off") + F.col("_in")).withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -89,14 +93,17 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     extra = (F.col("_at") + F.col("size") / 2) < (F.col("target") - F.col("_whole") * F.col("source_size"))
     x = x.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + extra.cast("long")).otherwise(0).cast("int"))
     at = lambda k: F.when(F.col("copies") > k, position(F.least(F.lit(1.0), (F.col("_at") + k * F.col("source_size")) / F.col("target")), F.col("start"), F.col("end")))
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", at(0).alias("position"), at(1).alias("position2"))
+    return x.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", at(0).alias("position"), at(1).alias("position2"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns, range-sorted by position.
 
-    Ids are meant to be unique; rows that repeat an id get the plan of each of them once.
+    The rows are stored with a number each, by which they find their plan: so rows with a null id, and rows that
+    repeat an id, are each taken as often as planned.
     """
-    plan = mixture(docs, id_col, **options).where("copies > 0").select(F.col("doc_id").alias("_k"), F.explode(F.slice(F.array("position", "position2"), F.lit(1), F.col("copies"))).alias("_p"))
-    n = plan.groupBy("_k", "_p").count().drop("count")
-    return docs.join(n, docs[id_col] == n["_k"]).sort("_p", id_col).drop("_k", "_p")
+    numbered = docs.select("*", F.monotonically_increasing_id().alias("_row"), n_words(F.col(text_col)).alias("_size"), F.xxhash64(text_col).alias("_tie"))
+    rows = common.stored(numbered, "mix-rows")
+    slim = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_tie").alias("tie"))
+    plan = _planned(slim, **options).where("copies > 0").select(F.col("row").alias("_k"), F.explode(F.slice(F.array("position", "position2"), F.lit(1), F.col("copies"))).alias("_p"))
+    return rows.join(plan, rows["_row"] == plan["_k"]).sort("_p", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -427,6 +427,16 @@ def test_the_mix_repeats_whole_documents_in_order(spark):
     assert mixing.mixed_documents(empty(spark)).collect() == []
 
 
+def test_the_mix_takes_rows_without_an_id_as_planned(spark):
+    rows = [(i, prose(i, 20), "en", f"s{i % 3}", i) for i in range(30)] + [(None, prose(100 + i, 10 + i % 3), "en", f"s{i % 3}", i) for i in range(12)] + [(7, prose(7, 20), "en", "s1", 7)] * 2
+    plan, out = mixing.mixture(frame(spark, rows)).collect(), mixing.mixed_documents(frame(spark, rows)).collect()
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert want[None, "s0", 10] > 0
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split(" "))) for r in out) == +want
+
+
 def test_positions_invert_the_schedule(spark):
     rows = [(start, end, t, (start * t + (end - start) * t * t / 2) / ((start + end) / 2)) for start, end in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)) for t in (0.0, 0.25, 0.5, 1.0)]
     df = spark.createDataFrame(rows, "start double, end double, t double, share double")
