@@ -287,10 +287,12 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(_labelled(sent, True), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
 
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """docs with one more column, _lang_pred; the other columns pass through unchanged."""
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame | None:
+    """docs with one more column, _lang_pred; the other columns pass through unchanged.  None without anything to learn from."""
     held = F.coalesce(common.fold(F.col(id_col), folds) == 0, F.lit(True))
     crf = train(docs.where(~held).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "text", "lang", sample)
+    if crf is None:
+        return None
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     @F.pandas_udf("string")

@@ -17,7 +17,7 @@ from callweave.llm import common, crf_langid, exact_dedup, mixing, ngram_join, s
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a language: those without a letter, or null, are undetermined and go."""
     labelled = crf_langid.with_language(docs)
-    if docs.where("lang is not null and text is not null").isEmpty():
+    if labelled is None:
         # nothing to learn from: only what has no letter can be rejected
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     return labelled.where(F.col("_lang_pred") != crf_langid.UNDETERMINED).drop("_lang_pred")

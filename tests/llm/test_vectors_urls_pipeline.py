@@ -1,5 +1,7 @@
 """Neighbours, URLs and the pipeline."""
 
+import zlib
+
 import numpy as np
 
 import corpus_pipeline
@@ -132,6 +134,14 @@ def test_pipeline(spark, tmp_path):
     assert len(final) == len(seen["mixing"]) and all(r["n_pieces"] > 0 for r in final)
 
 
+def test_language_id_without_rows_to_learn_from(spark, tmp_path):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    learns = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(held, "labelled but held out", "en", "a", 1), (None, "labelled without an id", "en", "a", 1), (learns, "12 34", "en", "a", 1), (200, "a clean text", None, "a", 1), (201, None, None, "a", 1)]
+    kept = corpus_pipeline.language_id(spark, frame(spark, rows, clash=False), str(tmp_path))
+    assert sorted(r["text"] for r in kept.collect()) == ["a clean text", "labelled but held out", "labelled without an id"]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
