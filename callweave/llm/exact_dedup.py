@@ -86,14 +86,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, with all their columns; one of those that repeat id and text.
 
-    Rows with a null id stay, for nothing tells which of them is meant.
+    A row with a null id goes if its text also stands under an id; of a group of null ids only, one row stays.
     """
-    kept = exact_groups(docs, id_col, text_col, **options).where("kept and doc_id is not null")
+    path = options.pop("index_path", None) or f"{common.shared_dir(docs.sparkSession)}/dedup-index-{uuid.uuid4().hex}"
+    kept = exact_groups(docs, id_col, text_col, index_path=path, **options).where("kept and doc_id is not null")
     keep = kept.groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg((F.count("*") > 1).alias("_many"))
     tagged = docs.withColumn("_s0", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     # both branches read one shuffle of the documents; only rows that repeat an id are gathered again
     stay = tagged.join(keep, (tagged[id_col] == keep["_k"]) & (tagged["_s0"] == keep["_s"]))
     single = stay.where("not _many").select(tagged.columns)
     several = stay.where("_many").select(tagged.columns).dropDuplicates([id_col, "_s0"])
-    nulls = tagged.where(F.col(id_col).isNull())
+    # one row of each text first, so that a text with many null ids is no large key of the join
+    nameless = docs.sparkSession.read.parquet(path).where("keep_id is null").select(F.col("text_sha256").alias("_s"))
+    nulls = tagged.where(F.col(id_col).isNull()).dropDuplicates(["_s0"])
+    nulls = nulls.join(nameless, nulls["_s0"] == nameless["_s"], "left_semi")
     return single.unionByName(several).unionByName(nulls).drop("_s0")

@@ -372,6 +372,12 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(empty(spark)).collect() == [] and exact_dedup.deduplicated(empty(spark)).collect() == []
 
 
+def test_rows_without_an_id_are_deduplicated(spark):
+    rows = [(1, "named text", "en", "a", 1), (None, "Named TEXT", "en", "a", 2), (None, "no name", "en", "a", 3), (None, "NO name", "en", "b", 4), (None, "no name", "en", "c", 5), (None, None, "en", "a", 6), (None, "", "en", "a", 7), (None, "single", "en", "a", 8)]
+    kept = exact_dedup.deduplicated(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], lower(r["text"])) for r in kept) == Counter([(1, "named text"), (None, "no name"), (None, ""), (None, "single")])
+
+
 def test_directory_splits_overfull_buckets():
     counts = {0: 5, 1: 5, 2: 1, 7: 100}
     got = exact_dedup.split_directory(counts, 3, 6)
