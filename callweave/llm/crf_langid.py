@@ -24,6 +24,8 @@ from callweave.llm import chain, common
 from callweave.llm.shingles import mix
 
 SAMPLE, RUNS, RUN = 4_096, 8, 16
+#: Rows of the sample that a rare label gets.
+FLOOR = 16
 BUCKETS, LEXICON = 1 << 16, 20_000
 UNDETERMINED = "und"
 _U = np.uint64
@@ -207,12 +209,23 @@ def _cut_runs(batches):
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Crf | None:
-    """Fits a model to at most `sample` of the labelled rows, taken by a hash of text and place; None without labels."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = labelled.count()
+    """Fits a model to about `sample` of the labelled rows, taken by a hash of text and place; None without labels.
+
+    Every label with a letter in a text has a row in the sample and about FLOOR of them, or an even share of half the
+    sample if there are many labels; the rest is in proportion.  Of more than `sample` labels the commonest are learnt.
+    """
+    bits = 1 << 30
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.regexp_like(text_col, F.lit(r"\p{L}"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    labelled = labelled.withColumn("at", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(bits)))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    rows = sum(r["n"] for r in counts)
     if rows > sample:
-        bits = 1 << 30
-        labelled = labelled.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(bits)) < int(bits * 0.95 * sample / rows))
+        least = min(FLOOR, max(1, sample // (2 * len(counts))))
+        share = 0.9 * max(0, sample - least * len(counts)) / rows
+        cuts = [(r["lang"], max(r["first"], int(bits * min(1.0, max(share, least / r["n"]))))) for r in counts]
+        labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long")), "lang").where("at <= cut").select("lang", "text")
+    else:
+        labelled = labelled.select("lang", "text")
     runs = labelled.mapInArrow(_cut_runs, "lang string, run string").limit(sample * RUNS).collect()
     runs = sorted((r["lang"], r["run"]) for r in runs)
     return fit(runs) if runs else None

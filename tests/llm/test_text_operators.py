@@ -241,6 +241,14 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_rare_language_is_learnt(spark):
+    rare = [(5000 + i, "zhqx qxzh vvkq", "xx", "s", 1) for i in range(3)]
+    for sample in (40, 4):
+        rows = [r[:3] for r in language_rows(600) + rare]
+        crf = crf_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=sample)
+        assert set(crf.labels) == {"en", "de", "es", "xx"}
+
+
 def test_code_switching_inside_a_text(spark):
     crf = crf_langid.train(spark.createDataFrame([r[:3] for r in language_rows()], "doc_id long, text string, lang string"))
     said = crf_langid.label_words(crf, "Thering whouer thou, schung tzei schei ücktz! ciónue ñll rrue")
