@@ -2,11 +2,11 @@
 
 A text's key is the 64-bit hash of its normalised form.  The directory is addressed by the first bits of the key;
 a bucket with more than `capacity` rows is split by one more bit, which doubles the directory where the bucket was
-as deep as the directory, up to `max_depth` bits.  Every bucket is a key range with one owner: rows are grouped by
-(bucket, key, text), so equal keys chain inside their owner and are told apart by their bytes.  Copies are counted
-before the shuffle, so a text that fills a third of the corpus reaches its owner as one row per input task.  The
-entries (no texts, but their SHA-256) are written to shared files with their bucket; documents find their entry
-again by digest.
+as deep as the directory, up to `max_depth` bits.  The buckets only label the entries: a plain grouped aggregate over
+(bucket, key, text) does the work, spread by key and text, so equal keys are told apart by their bytes and no task
+owns a bucket.  Copies are counted before the shuffle, so a text that fills a third of the corpus reaches its group as
+one row per input task.  The entries (no texts, but their SHA-256) are written to shared files with their bucket;
+documents find their entry again by digest.
 """
 
 from __future__ import annotations
