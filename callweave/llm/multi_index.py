@@ -182,19 +182,25 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.where("vec_id is not null and v is not null and size(v) > 1").where(finite).where(F.exists(v, lambda x: x != 0))
-    # vectors travel as bytes; squares that underflow to 0 or overflow leave no cosine
-    rows = rows.where(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x).between(1e-290, 1e290))
+    rows = rows.where("vec_id is not null and v is not null and size(v) > 0").where(finite).where(F.exists(v, lambda x: x != 0))
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:
         return spark.createDataFrame([], schema)
-    dim, total = dims["d"], dims["count"]
-    rows = rows.where(F.size("v") == dim)
+    width, total = dims["d"], dims["count"]
+    dim = max(2, width)  # a single component gets a zero beside it, which changes no cosine
+    rows = rows.where(F.size("v") == width)
 
     def packed(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            flat = np.pad(flat, ((0, 0), (0, dim - width)))
+            # squares that underflow or overflow: a power of two brings the largest component to 0.5..1
+            with np.errstate(over="ignore", under="ignore"):
+                square = (flat * flat).sum(1)
+                far = ~((square >= 1e-290) & (square <= 1e290))
+                flat[far] = np.ldexp(flat[far], -np.frexp(np.abs(flat[far]).max(1))[1][:, None])
+            # vectors travel as bytes
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], names=["vec_id", "vec"])
 
     rows = common.stored(rows.mapInArrow(packed, "vec_id long, vec binary"), "vectors")

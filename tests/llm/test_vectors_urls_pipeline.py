@@ -56,6 +56,15 @@ def test_few_or_no_candidates(spark):
     assert multi_index.neighbours(spark.createDataFrame([(0, [1.0, 0.0], 0)], VECTORS)).collect() == []
 
 
+def test_extreme_and_single_component_vectors_take_part(spark):
+    kind = "vec_id long, embedding array<double>, label int"
+    far = spark.createDataFrame([(0, [1e200, 0.0], 0), (1, [1e-200, 1e-200], 0), (2, [5e-324, 0.0], 0)], kind)
+    got = multi_index.neighbours(far).collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 2), (2, 1)] and abs(got[0]["score"] - 1) < 1e-12 and abs(got[1]["score"] - 0.5**0.5) < 1e-12
+    one = spark.createDataFrame([(0, [2.0], 0), (1, [-1.0], 0), (2, [3.0], 0)], kind)
+    assert [(r["vec_id"], r["score"]) for r in multi_index.neighbours(one).collect()] == [(2, 1.0), (1, -1.0)]
+
+
 def test_cells_are_visited_by_rising_distance():
     u, v = np.array([0.3, 0.1, 0.9]), np.array([0.5, 0.2])
     counts = np.array([1, 1, 1, 1, 0, 1])
