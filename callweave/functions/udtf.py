@@ -11,8 +11,8 @@ class ParseSymbols:
     def eval(self, content: str, lang: str):
         from callweave.parse.extract import extract
 
-        for s in extract((content or "").encode(), lang).symbols:
-            yield s.name, s.kind, s.container, s.start, s.end
+        for s in extract((content or "").encode(), lang).rows["symbols"]:
+            yield s["name"], s["kind"], s["container"], s["start_byte"], s["end_byte"]
 
 
 @udtf(returnType="callee string, receiver string, at_byte long")
@@ -20,8 +20,8 @@ class ParseCalls:
     def eval(self, content: str, lang: str):
         from callweave.parse.extract import extract
 
-        for r in extract((content or "").encode(), lang).refs:
-            yield r.callee, r.receiver, r.at
+        for r in extract((content or "").encode(), lang).rows["refs"]:
+            yield r["callee"], r["receiver"], r["at"]
 
 
 def register(spark: SparkSession) -> None:

@@ -1,5 +1,5 @@
-"""Source text to facts: one table function per file.
+"""Source text to facts.
 
-`extract(content, lang)` gives plain records with byte positions; `facts_of` turns them into the rows of the fact
-tables, with ids hashed from positions and every call, binding and hook attributed to the smallest definition around it.
+`extract(content, lang)` gives rows in the columns of the fact tables, with positions; their `finished` adds ids, lines
+and enclosing definitions.
 """

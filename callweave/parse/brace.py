@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from callweave.functions import languages as L
 from callweave.parse.lexer import Lexer, Token, pairs
-from callweave.parse.records import Assign, Hook, Parsed, Ref, Symbol
+from callweave.parse.rows import Parsed
 
 _END = Token("op", "", 0, 0)
 
@@ -66,7 +66,7 @@ class Walk:
 
     def symbol(self, name: str, kind: str, container: str | None, a: int, b: int) -> None:
         """A definition over tokens a to b - 1."""
-        self.out.symbols.append(Symbol(name, kind, container, self.at(a).start, self.at(b - 1).end))
+        self.out.defines(name, kind, container, self.at(a).start, self.at(b - 1).end)
 
     def split(self, a: int, b: int, sep: str = ",") -> list[tuple[int, int]]:
         """Token ranges between separators at the top level of a to b - 1."""
@@ -129,11 +129,11 @@ class Walk:
                             bodies.append((t.start, self.t[j].end, self.t[k + 1].text))
                             break
                     j += 1
-        for s in self.out.symbols:
-            if s.container is None and s.kind != "class":
-                inside = [b for b in bodies if b[0] <= s.start < b[1] and b[2] != s.name]
+        for s in self.out.rows["symbols"]:
+            if s["container"] is None and s["kind"] != "class":
+                inside = [b for b in bodies if b[0] <= s["start_byte"] < b[1] and b[2] != s["name"]]
                 if inside:
-                    s.container, s.kind = max(inside)[2], "method"
+                    s["container"], s["kind"] = max(inside)[2], "method"
 
 
 class Script(Walk):
@@ -407,7 +407,7 @@ class Script(Walk):
     def _call(self, k: int) -> None:
         t = self.at(k)
         if t.kind == "jsx":
-            self.out.refs.append(Ref(t.text, None, t.start))
+            self.out.calls(t.text, None, t.start)
             return
         if t.kind != "name" or k in self.methods or t.text.startswith("#"):
             return
@@ -428,9 +428,9 @@ class Script(Walk):
             first = self.operand_start(k)
             if self.is_(first, "new") and not any(self.op(j, "(") for j in range(first, k)):
                 return  # new a.b() constructs
-            self.out.refs.append(Ref(t.text, self.text_of(first, k - 1).strip(), t.start))
+            self.out.calls(t.text, self.text_of(first, k - 1).strip(), t.start)
         else:
-            self.out.refs.append(Ref(t.text, None, t.start))
+            self.out.calls(t.text, None, t.start)
 
     def _signature(self, k: int) -> bool:
         """A member without a body, as in interfaces, overloads and abstract methods."""
@@ -450,24 +450,24 @@ class Script(Walk):
             return
         if self._declares(k):
             if self.is_(k + 1, "of", "in"):
-                self.out.assigns.append(Assign(t.text, "", t.start, "shadow"))
+                self.out.binds(t.text, "", t.start, "shadow")
                 return
             if self.ts and self.op(k + 1, ":"):
                 self._hint(t.text, k + 2, self._type_end(k + 2), t.start)
-            self.out.assigns.append(Assign(t.text, "", t.start, "shadow"))
+            self.out.binds(t.text, "", t.start, "shadow")
             v = self._value_of(k)
         elif self.op(k + 1, "=") and not self.op(k - 1, ".", "?.", "@") and not self.at(k - 1).kind == "name":
             v = k + 2
         else:
             if self.is_(k + 1, "of", "in") and self.op(k - 1, "(") and self.is_(k - 2, "for"):
-                self.out.assigns.append(Assign(t.text, "", t.start, "shadow"))
+                self.out.binds(t.text, "", t.start, "shadow")
             return
         if v is not None and self.is_(v, "new") and self.word(v + 1) and not self.op(v + 2, "."):
             p = v + 2
             if self.op(p, "<"):
                 p = self._behind_generics(p)
             if not self.op(p, "(") or not self.op(self.over(p), ".", "?.", "(", "["):
-                self.out.assigns.append(Assign(t.text, self.at(v + 1).text, self.at(v + 1).start))
+                self.out.binds(t.text, self.at(v + 1).text, self.at(v + 1).start)
 
     def _is_parameters(self, k: int) -> bool:
         after = self.over(k)
@@ -499,14 +499,14 @@ class Script(Walk):
             name = self.at(a)
             if not self.ts:
                 if b == a + 1:
-                    self.out.assigns.append(Assign(name.text, "", name.start, "shadow"))
+                    self.out.binds(name.text, "", name.start, "shadow")
                 continue
             j = a + 1 + self.op(a + 1, "?")
             if j < b and self.op(j, ":"):
                 self._hint(name.text, j + 1, min(b, self._type_end(j + 1)), self.at(start).start)
             else:
-                self.out.assigns.append(Assign(name.text, "", self.at(start).start, "shadow"))
-            self.out.assigns.append(Assign(name.text, "", name.start, "shadow"))
+                self.out.binds(name.text, "", self.at(start).start, "shadow")
+            self.out.binds(name.text, "", name.start, "shadow")
 
     def _type_end(self, k: int) -> int:
         while k < len(self.t) and not self.op(k, "=", ",", ";", ")", "}"):
@@ -519,7 +519,7 @@ class Script(Walk):
 
     def _hint(self, var: str, a: int, b: int, at: int) -> None:
         simple = b == a + 1 and self.word(a) and self.at(a).text not in ("string", "number", "boolean", "any", "void", "unknown", "never", "object", "symbol", "bigint", "undefined", "null", "this")
-        self.out.assigns.append(Assign(var, self.at(a).text if simple else "", at, "hint" if simple else "shadow"))
+        self.out.binds(var, self.at(a).text if simple else "", at, "hint" if simple else "shadow")
 
     def _imports(self) -> None:
         for k, t in enumerate(self.t):
@@ -528,7 +528,7 @@ class Script(Walk):
             j = k + 1
             while j < len(self.t) and not self.op(j, ";") and j < k + 400:
                 if self.at(j).kind == "str":
-                    self.out.imports.append(self.at(j).text.strip("'\"`"))
+                    self.out.uses(self.at(j).text.strip("'\"`"))
                     break
                 if self.op(j, "=", "("):
                     break
@@ -631,8 +631,8 @@ class Php(Walk):
             if len(kind) == 1 and self.at(kind[0]).kind in ("name", "qname"):
                 cls = self.at(kind[0]).text.rsplit("\\", 1)[-1]
                 cls = "" if self.at(kind[0]).kind == "name" and cls.lower() in self._primitive else cls
-            self.out.assigns.append(Assign(name, cls, self.at(start).start, "hint" if cls else "shadow"))
-            self.out.assigns.append(Assign(name, "", self.at(v).start + 1, "shadow"))
+            self.out.binds(name, cls, self.at(start).start, "hint" if cls else "shadow")
+            self.out.binds(name, "", self.at(v).start + 1, "shadow")
 
     def _call(self, k: int) -> None:
         t = self.at(k)
@@ -641,12 +641,12 @@ class Php(Walk):
         if self.op(k - 1, "->", "::"):
             if t.kind == "name":
                 first = self.operand_start(k)
-                self.out.refs.append(Ref(t.text, self.text_of(first, k - 1).strip(), t.start))
+                self.out.calls(t.text, self.text_of(first, k - 1).strip(), t.start)
             return
         if self.op(k - 1, "?->") or self.is_(k - 1, "new", "function", "fn", "class") or self.op(k - 1, "&") and self.is_(k - 2, "function") or self.op(k - 1, "[") and self.op(k - 2, "#"):
             return
         if t.kind == "name" and t.text.lower() not in self.keywords:
-            self.out.refs.append(Ref(t.text, None, t.start))
+            self.out.calls(t.text, None, t.start)
         self._hook(k)
 
     def _binding(self, k: int) -> None:
@@ -658,15 +658,15 @@ class Php(Walk):
                 for a, b in ((k + 2, split), (split + 1, end)):
                     a += self.op(a, "&")
                     if b == a + 1 and self.at(a).kind == "var":
-                        self.out.assigns.append(Assign(self.at(a).text[1:], "", self.at(a).start + 1, "shadow"))
+                        self.out.binds(self.at(a).text[1:], "", self.at(a).start + 1, "shadow")
         if t.kind == "name" and t.text == "fn" and self.op(k + 1, "("):
             self._parameters(k + 1)
         if t.kind == "var" and self.op(k + 1, "=") and not self.op(k - 1, "->", "::", "?->", "$"):
-            self.out.assigns.append(Assign(t.text[1:], "", t.start + 1, "shadow"))
+            self.out.binds(t.text[1:], "", t.start + 1, "shadow")
             if self.is_(k + 2, "new") and self.word(k + 3) and self.at(k + 3).text.lower() not in ("class", "static", "self", "parent"):
                 after = self.over(k + 4) if self.op(k + 4, "(") else k + 4
                 if not self.op(after, "->", "::", "?->"):
-                    self.out.assigns.append(Assign(t.text[1:], self.at(k + 3).text, self.at(k + 3).start))
+                    self.out.binds(t.text[1:], self.at(k + 3).text, self.at(k + 3).start)
 
     def _constant(self, k: int) -> None:
         t = self.at(k)
@@ -678,7 +678,7 @@ class Php(Walk):
                 if self.word(j) and self.op(j + 1, "="):
                     if self.at(j + 2).kind == "str" and self.at(j + 2).value is not None and self.op(j + 3, ",", ";"):
                         owner = self.owner(k)
-                        self.out.assigns.append(Assign(f"{owner}::{self.at(j).text}" if owner else self.at(j).text, self.at(j + 2).value, self.at(j).start, "const"))
+                        self.out.binds(f"{owner}::{self.at(j).text}" if owner else self.at(j).text, self.at(j + 2).value, self.at(j).start, "const")
                     while j < len(self.t) and not self.op(j, ",", ";"):
                         j = self.over(j) if self.op(j, "(", "[") else j + 1
                     continue
@@ -688,7 +688,7 @@ class Php(Walk):
             if len(args) >= 2:
                 name, value = (self.literal(*a) for a in args[:2])
                 if name and value is not None:
-                    self.out.assigns.append(Assign(name, value, t.start, "const"))
+                    self.out.binds(name, value, t.start, "const")
 
     # --- hooks ---
     def literal(self, a: int, b: int) -> str | None:
@@ -761,9 +761,9 @@ class Php(Walk):
         args = [self.value(*a) for a in self.arguments(k + 1)]
         at = self.at(k).start
         if fn in L.PHP_FIRE:
-            self.out.hooks.append(Hook("fire", self.literal(*args[0]) if args else None, "fire", at))
+            self.out.dispatches("fire", self.literal(*args[0]) if args else None, "fire", at)
         elif fn in L.PHP_LISTEN and len(args) >= 2:
-            self.out.hooks.append(Hook("listen", self.literal(*args[0]), "filter" if fn == "add_filter" else "action", at, **self.callback(*args[1])))
+            self.out.dispatches("listen", self.literal(*args[0]), "filter" if fn == "add_filter" else "action", at, **self.callback(*args[1]))
         elif fn in L.PHP_REST and len(args) >= 3:
             options = {self.literal(*key): value for key, value in self.elements(*args[2]) or [] if key}
             if "callback" not in options:
@@ -771,7 +771,7 @@ class Php(Walk):
             perm = options.get("permission_callback")
             text = self.text_of(*perm) if perm else ""
             open_ = perm is None or (self.literal(*perm) or "").lstrip("\\") == "__return_true"
-            self.out.hooks.append(Hook("listen", self._expression(*args[0]) + self._expression(*args[1]), "rest", at, entry_point=True, unauth=open_, note=f"permission={text[:40]}" if perm else "no permission_callback", **self.callback(*options["callback"])))
+            self.out.dispatches("listen", self._expression(*args[0]) + self._expression(*args[1]), "rest", at, entry_point=True, unauth=open_, note=f"permission={text[:40]}" if perm else "no permission_callback", **self.callback(*options["callback"]))
 
 
 class Go(Walk):
@@ -787,7 +787,7 @@ class Go(Walk):
                 self._types(k)
             elif self.is_(k, "import"):
                 j, end = k + 1, self.over(k + 1) if self.op(k + 1, "(") else k + 3
-                self.out.imports += [self.at(i).text.strip("'\"`") for i in range(j, end) if self.at(i).kind == "str" and self.at(i).text[0] == '"']
+                self.out.uses(*[self.at(i).text.strip("'\"`") for i in range(j, end) if self.at(i).kind == "str" and self.at(i).text[0] == '"'])
             elif self.is_(k, "var"):
                 self._vars(k)
             elif self.op(k, ":="):
@@ -796,9 +796,9 @@ class Go(Walk):
             if t.kind == "name" and t.text not in self.keywords and self.op(k + 1, "(") and k not in self.names:
                 if self.op(k - 1, "."):
                     first = self.operand_start(k)
-                    self.out.refs.append(Ref(t.text, self.text_of(first, k - 1).strip(), t.start))
+                    self.out.calls(t.text, self.text_of(first, k - 1).strip(), t.start)
                 elif not self.is_(k - 1, "func"):
-                    self.out.refs.append(Ref(t.text, None, t.start))
+                    self.out.calls(t.text, None, t.start)
         return self.out
 
     def _func(self, k: int) -> None:
@@ -826,7 +826,7 @@ class Go(Walk):
             var = self.at(a).text if self.word(a) and not self.op(a + 1, ".", "[") and b > a + 1 else None
             container = self.text_of(a + (var is not None), b).lstrip("*").strip() or None
             if container and var:
-                self.out.assigns.append(Assign(var, container, self.at(k).start))
+                self.out.binds(var, container, self.at(k).start)
         self.symbol(self.at(n).text, "method" if receiver is not None else "function", container, k, end)
 
     def _line_end(self, k: int) -> int:
@@ -861,10 +861,10 @@ class Go(Walk):
             if not self.word(a):
                 continue
             if self.word(a + 1) and not self.op(a + 2, ".", "["):
-                self.out.assigns.append(Assign(self.at(a).text, self.at(a + 1).text, self.at(a + 1).start))
+                self.out.binds(self.at(a).text, self.at(a + 1).text, self.at(a + 1).start)
             eq = next((j for j in range(a, b) if self.op(j, "=")), None)
             if eq is not None and self.word(eq + 1) and self.op(eq + 2, "{"):
-                self.out.assigns.append(Assign(self.at(a).text, self.at(eq + 1).text, self.at(eq + 1).start))
+                self.out.binds(self.at(a).text, self.at(eq + 1).text, self.at(eq + 1).start)
 
     def _short(self, k: int) -> None:
         a = k - 1
@@ -873,7 +873,7 @@ class Go(Walk):
         for x, _ in self.split(k + 1, self._line_end(k + 1)):
             c = self._composite(x)
             if c is not None:
-                self.out.assigns.append(Assign(self.text_of(a, k).strip(), self.at(c).text, self.at(c).start))
+                self.out.binds(self.text_of(a, k).strip(), self.at(c).text, self.at(c).start)
 
 
 def parse(text: str, lang: str) -> Parsed:

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import struct
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import expressions as X
 from callweave.functions import languages as L
-from callweave.model import ASSIGNS, HOOKS, IMPORTS, REFS, SYMBOLS, Facts
+from callweave.model import FACTS, Facts
 from callweave.parse import brace, python, ruby
-from callweave.parse.records import Enclosing, Lines, Parsed
+from callweave.parse.rows import COLUMNS, Parsed
 
 
 def extract(content: bytes, lang: str) -> Parsed:
     """Facts of one file; an unexpected failure leaves a warning and no facts."""
     if lang not in L.LANGUAGES:
-        return Parsed(warnings=[f"no parser for {lang}"])
+        return Parsed(f"no parser for {lang}")
     try:
         if lang == "python":
             return python.parse(content)
@@ -28,7 +26,7 @@ def extract(content: bytes, lang: str) -> Parsed:
             _to_bytes(out, content, text)
         return out
     except (IndexError, KeyError, RecursionError, ValueError) as e:
-        return Parsed(warnings=[f"extraction failed: {type(e).__name__}"])
+        return Parsed(f"extraction failed: {type(e).__name__}")
 
 
 def _to_bytes(out: Parsed, content: bytes, text: str) -> None:
@@ -42,49 +40,10 @@ def _to_bytes(out: Parsed, content: bytes, text: str) -> None:
         for c in text:
             i += 1 if c == "�" and content[i : i + 3] != b"\xef\xbf\xbd" else len(c.encode())
             at.append(min(i, len(content)))
-    for s in out.symbols:
-        s.start, s.end = at[s.start], at[s.end]
-    for x in (*out.refs, *out.assigns, *out.hooks):
-        x.at = at[x.at]
-
-
-def key(file: str, *parts: object) -> int:
-    """A 64-bit id that depends on the position only."""
-    import hashlib
-
-    return struct.unpack("<q", hashlib.blake2b("\0".join(map(str, (file, *parts))).encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
-
-
-def rows_of(file: str, lang: str, content: bytes, parsed: Parsed) -> dict:
-    """The rows of one file by table.  Ids hash (file, start, end, kind, name), so they survive a re-index."""
-    line = Lines(content)
-    inside = Enclosing(parsed.symbols)
-    ids = [key(file, s.start, s.end, s.kind, s.name) for s in parsed.symbols]
-    scope = lambda at: ids[k] if (k := inside(at)) is not None else None
-    seen: dict[tuple, int] = {}
-
-    def ordinal(*what) -> int:
-        seen[what] = seen.get(what, -1) + 1
-        return seen[what]
-
-    def first_line(a: int, b: int) -> str:
-        text = content[a:b].decode("utf-8", "replace")
-        return text.splitlines()[0].strip()[:200] if text else ""
-
-    return {
-        "symbols": [(i, file, s.name, s.kind, s.container, lang, line(s.start), line(max(s.start, s.end - 1)), s.start, s.end, first_line(s.start, s.end)) for i, s in zip(ids, parsed.symbols)],
-        "refs": [(key(file, "ref", r.at, r.callee, ordinal("ref", r.at, r.callee)), file, lang, r.callee, r.receiver, line(r.at), scope(r.at)) for r in parsed.refs],
-        "imports": [(file, m) for m in parsed.imports],
-        "assigns": [(file, lang, scope(a.at), a.var, a.cls, a.kind) for a in parsed.assigns],
-        "hooks": [
-            (key(file, "hook", h.at, h.kind, h.hook, h.note, ordinal("hook", h.at, h.kind, h.hook, h.note)), file, lang, h.kind, h.hook, h.hook, h.hook_class, scope(h.at), h.cb_kind, h.cb_name, h.cb_container, h.cb_recv, h.cb_raw, None, h.entry_point, h.unauth, h.note, line(h.at if h.line_at is None else h.line_at))
-            for h in parsed.hooks
-        ],
-    }
+    out.moved(at.__getitem__)
 
 
-_TABLES = {"symbols": SYMBOLS, "refs": REFS, "imports": IMPORTS, "assigns": ASSIGNS, "hooks": HOOKS}
-PARSED = "path string, lang string, " + ", ".join(f"{name} array<struct<{', '.join(c.replace(' ', ':', 1) for c in ddl.split(', '))}>>" for name, ddl in _TABLES.items()) + ", warnings array<string>"
+PARSED = "path string, lang string, " + ", ".join(f"{name} array<struct<{', '.join(c.replace(' ', ':', 1) for c in ddl.split(', '))}>>" for name, ddl in FACTS.items() if name in COLUMNS) + ", warnings array<string>"
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -96,10 +55,8 @@ def parse_files(files: DataFrame) -> DataFrame:
             for path, lang, content in zip(batch["path"], batch["lang"], batch["content"]):
                 content = bytes(content if content is not None else b"")
                 parsed = extract(content, lang)
-                rows = rows_of(path, lang, content, parsed)
-                named = {t: [dict(zip([c.split()[0] for c in _TABLES[t].split(", ")], r)) for r in rows[t]] for t in _TABLES}
-                out.append({"path": path, "lang": lang, **named, "warnings": parsed.warnings})
-            yield pd.DataFrame(out, columns=["path", "lang", *_TABLES, "warnings"])
+                out.append({"path": path, "lang": lang, **parsed.finished(path, lang, content), "warnings": parsed.warnings})
+            yield pd.DataFrame(out, columns=["path", "lang", *COLUMNS, "warnings"])
 
     return files.select("path", "lang", "content").mapInPandas(run, PARSED)
 
@@ -119,7 +76,7 @@ def classified(hooks: DataFrame) -> DataFrame:
 
 def facts_from(parsed: DataFrame, files: DataFrame | None = None) -> Facts:
     """Fact tables from the output of parse_files, which should be stored: each table reads it once."""
-    tables = {t: parsed.selectExpr(f"inline({t})") for t in _TABLES}
+    tables = {t: parsed.selectExpr(f"inline({t})") for t in COLUMNS}
     tables["hooks"] = classified(tables["hooks"])
     if files is not None:
         tables["files"] = files

@@ -6,7 +6,7 @@ import ast
 import warnings
 
 from callweave.functions import languages as L
-from callweave.parse.records import Assign, Hook, Lines, Parsed, Ref, Symbol
+from callweave.parse.rows import Parsed, line_starts
 
 
 def _tree(text: str, out: Parsed) -> ast.Module | None:
@@ -39,7 +39,7 @@ def _tree(text: str, out: Parsed) -> ast.Module | None:
 class _Visitor:
     def __init__(self, content: bytes, out: Parsed):
         self.content, self.out = content, out
-        self.line = Lines(content).starts
+        self.line = line_starts(content)
 
     def start(self, n: ast.AST) -> int:
         return self.line[n.lineno - 1] + n.col_offset
@@ -69,7 +69,7 @@ class _Visitor:
             todo += [(x, inner) for x in reversed(list(ast.iter_child_nodes(node)))]
 
     def _definition(self, node, kind: str, owner: str | None) -> None:
-        self.out.symbols.append(Symbol(node.name, kind, owner, self.start(node), self.end(node)))
+        self.out.defines(node.name, kind, owner, self.start(node), self.end(node))
 
     def on_ClassDef(self, node, owner) -> None:
         self._definition(node, "class", owner)
@@ -89,21 +89,21 @@ class _Visitor:
         for a in (*args.posonlyargs, *args.args, *args.kwonlyargs):
             at = self.start(a)
             if a.annotation is None:
-                self.out.assigns.append(Assign(a.arg, "", at, "shadow"))
+                self.out.binds(a.arg, "", at, "shadow")
             else:
                 self._hint(a.arg, a.annotation, at)
 
     def _hint(self, var: str, annotation: ast.expr, at: int) -> None:
         named = isinstance(annotation, ast.Name)
-        self.out.assigns.append(Assign(var, annotation.id if named else "", at, "hint" if named else "shadow"))
+        self.out.binds(var, annotation.id if named else "", at, "hint" if named else "shadow")
 
     def _bind(self, target: ast.expr | None) -> None:
         if isinstance(target, ast.Name):
-            self.out.assigns.append(Assign(target.id, "", self.start(target), "shadow"))
+            self.out.binds(target.id, "", self.start(target), "shadow")
 
     def _construct(self, target: ast.expr, value: ast.expr | None) -> None:
         if isinstance(target, ast.Name) and isinstance(value, ast.Call) and isinstance(value.func, ast.Name):
-            self.out.assigns.append(Assign(target.id, value.func.id, self.start(value.func)))
+            self.out.binds(target.id, value.func.id, self.start(value.func))
 
     def on_Assign(self, node, owner) -> None:
         for t in node.targets:
@@ -128,27 +128,27 @@ class _Visitor:
         if node.name:
             after = self.end(node.type) if node.type else self.start(node)
             at = self.content.find(node.name.encode(), after)
-            self.out.assigns.append(Assign(node.name, "", at if at >= 0 else self.start(node), "shadow"))
+            self.out.binds(node.name, "", at if at >= 0 else self.start(node), "shadow")
 
     def on_MatchAs(self, node, owner) -> None:
         if node.name and node.pattern is not None:
-            self.out.assigns.append(Assign(node.name, "", self.end(node) - len(node.name.encode()), "shadow"))
+            self.out.binds(node.name, "", self.end(node) - len(node.name.encode()), "shadow")
 
     def on_Import(self, node, owner) -> None:
-        self.out.imports += [a.name for a in node.names]
+        self.out.uses(*[a.name for a in node.names])
 
     def on_ImportFrom(self, node, owner) -> None:
         if node.module and not node.level:
-            self.out.imports.append(node.module)
+            self.out.uses(node.module)
 
     def on_Call(self, node, owner) -> None:
         f = node.func
         if isinstance(f, ast.Name):
-            self.out.refs.append(Ref(f.id, None, self.start(f)))
+            self.out.calls(f.id, None, self.start(f))
             if f.id in L.PY_ROUTE_CALLS:
                 self._route_call(node)
         elif isinstance(f, ast.Attribute):
-            self.out.refs.append(Ref(f.attr, self.text(f.value).strip(), self.end(f) - len(f.attr.encode())))
+            self.out.calls(f.attr, self.text(f.value).strip(), self.end(f) - len(f.attr.encode()))
             self._dispatch(node, f)
 
     # --- string dispatch ---
@@ -173,26 +173,26 @@ class _Visitor:
         if not on:
             return
         if f.attr in L.PY_SEND:
-            self.out.hooks.append(Hook("fire", on, "fire", at, note="signal"))
+            self.out.dispatches("fire", on, "fire", at, note="signal")
         elif f.attr in L.PY_TASK_FIRE:
-            self.out.hooks.append(Hook("fire", on, "fire", at, note="task"))
+            self.out.dispatches("fire", on, "fire", at, note="task")
         elif f.attr in L.PY_CONNECT:
             given = node.args[0] if node.args else next((k.value for k in node.keywords if k.arg == "receiver"), None)
             kind, name = self.callback(given)
             if name:
-                self.out.hooks.append(Hook("listen", on, "signal", at, cb_kind=kind, cb_name=name, note="connect"))
+                self.out.dispatches("listen", on, "signal", at, cb_kind=kind, cb_name=name, note="connect")
 
     def _route_call(self, node: ast.Call) -> None:
         if len(node.args) >= 2:
             kind, name = self.callback(node.args[1])
             if name:
-                self.out.hooks.append(Hook("listen", self.literal(node.args[0]) or name, "route", self.start(node), cb_kind=kind, cb_name=name, entry_point=True, note="route"))
+                self.out.dispatches("listen", self.literal(node.args[0]) or name, "route", self.start(node), cb_kind=kind, cb_name=name, entry_point=True, note="route")
 
     def _decorator(self, dec: ast.expr, node) -> None:
         call = isinstance(dec, ast.Call)
         name, args = self.tail(dec.func if call else dec), dec.args if call else []
         at = self.start(node)
-        listen = lambda hook, cls, note, entry=False: self.out.hooks.append(Hook("listen", hook, cls, at, cb_kind="free", cb_name=node.name, entry_point=entry, note=note, line_at=self.start(dec)))
+        listen = lambda hook, cls, note, entry=False: self.out.dispatches("listen", hook, cls, at, cb_kind="free", cb_name=node.name, entry_point=entry, note=note, line_at=self.start(dec))
         if name in L.PY_RECEIVER_DECORATORS:
             first = args[0] if args else None
             for s in first.elts if isinstance(first, (ast.List, ast.Tuple)) else [first]:
@@ -224,8 +224,5 @@ def parse(content: bytes) -> Parsed:
         return out
     _Visitor(raw, out).walk(tree)
     if bom:
-        for x in (*out.refs, *out.assigns, *out.hooks):
-            x.at += 3
-        for s in out.symbols:
-            s.start, s.end = s.start + 3, s.end + 3
+        out.moved(lambda at: at + 3)
     return out

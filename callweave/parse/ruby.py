@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 from callweave.functions import languages as L
-from callweave.parse.records import Assign, Parsed, Ref, Symbol
+from callweave.parse.rows import Parsed
 
 _IDENT = re.compile(r"[a-z_\u0080-\U0010ffff][\w\u0080-\U0010ffff]*[?!]?(?![=~](?![=~>]))|[a-z_\u0080-\U0010ffff][\w\u0080-\U0010ffff]*")
 _CONST = re.compile(r"[A-Z]\w*")
@@ -226,11 +226,11 @@ class Ruby:
                         owners.pop()
                         locals_.pop()
                         if b[2]:
-                            self.out.symbols.append(Symbol(b[2], b[0], b[3], self.at(b[1]).start, t.end))
+                            self.out.defines(b[2], b[0], b[3], self.at(b[1]).start, t.end)
                     elif b[0] == "def":
                         locals_.pop()
                         if b[2]:
-                            self.out.symbols.append(Symbol(b[2], "method", b[3], self.at(b[1]).start, t.end))
+                            self.out.defines(b[2], "method", b[3], self.at(b[1]).start, t.end)
                     elif b[0] in ("while", "until", "for") and loop_do and b[-1] is None:
                         loop_do -= 1  # a loop without a do
             elif t.kind == "op" and t.text == "{" and self._is_block(k):
@@ -243,7 +243,7 @@ class Ruby:
         # unclosed blocks run to the end
         for b in reversed(blocks):
             if b[2]:
-                self.out.symbols.append(Symbol(b[2], "method" if b[0] == "def" else b[0], b[3], self.at(b[1]).start, len(self.s)))
+                self.out.defines(b[2], "method" if b[0] == "def" else b[0], b[3], self.at(b[1]).start, len(self.s))
         return self.out
 
     def _opens(self, k: int) -> bool:
@@ -291,7 +291,7 @@ class Ruby:
             while self.at(end).kind != "nl" and not self.op(end, ";"):
                 end = self.over(end) if self.op(end, "(", "[", "{", "{{") else end + 1
             if name:
-                self.out.symbols.append(Symbol(name, "method", owners[-1], self.at(k).start, self.at(end - 1).end))
+                self.out.defines(name, "method", owners[-1], self.at(k).start, self.at(end - 1).end)
             locals_.pop()
             return j + 1
         blocks.append(["def", k, name, owners[-1]])
@@ -316,7 +316,7 @@ class Ruby:
 
     def _shadow(self, name: str, at: int, locals_: list) -> None:
         locals_[-1].add(name)
-        self.out.assigns.append(Assign(name, "", at, "shadow"))
+        self.out.binds(name, "", at, "shadow")
 
     def _block_parameters(self, k: int, locals_: list) -> None:
         if self.op(k, "|"):
@@ -351,7 +351,7 @@ class Ruby:
             if self.at(k + 2).kind == "const" and self.op(k + 3, ".") and self.at(k + 4).text == "new":
                 after = self.over(k + 5) if self.op(k + 5, "(") and not self.at(k + 5).space else k + 5
                 if not self.op(after, ".", "&.", "+", "-", "*", "||", "&&", "?"):
-                    self.out.assigns.append(Assign(t.text, self.at(k + 2).text, self.at(k + 2).start))
+                    self.out.binds(t.text, self.at(k + 2).text, self.at(k + 2).start)
             return
         if self.op(k + 1, "||=", "&&=", "+=", "-=", "*=", "/=", "<<=") and not dotted:
             locals_[-1].add(t.text)
@@ -366,11 +366,11 @@ class Ruby:
         if dotted:
             if self.op(k + 1, "=") and not self.op(k + 1, "=="):
                 return
-            self.out.refs.append(Ref(t.text, self._receiver(k), t.start))
+            self.out.calls(t.text, self._receiver(k), t.start)
         elif arguments or command or block and t.text not in locals_[-1]:
-            self.out.refs.append(Ref(t.text, None, t.start))
+            self.out.calls(t.text, None, t.start)
         elif self._statement(k, blocks):
-            self.out.refs.append(Ref(t.text, None, t.start))
+            self.out.calls(t.text, None, t.start)
         if not dotted and t.text in L.RUBY_MIXINS and (arguments or command):
             self._mixins(k)
 
@@ -404,7 +404,7 @@ class Ruby:
                 return
             while self.op(j + 1, "::") and self.at(j + 2).kind == "const":
                 j += 2
-            self.out.assigns.append(Assign("<mixin>", self.at(j).text, self.at(k).start, "mixin"))
+            self.out.binds("<mixin>", self.at(j).text, self.at(k).start, "mixin")
             if not self.op(j + 1, ","):
                 return
             j += 2

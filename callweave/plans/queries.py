@@ -243,7 +243,7 @@ def js_calls(spark: SparkSession, sf: str) -> DataFrame:
             rows = []
             for page, code in zip(b["page_id"], b["code"]):
                 got = extract(code.encode(), "javascript")
-                rows += [(page, "call", r.callee) for r in got.refs] + [(page, "bound", a.var) for a in got.assigns]
+                rows += [(page, "call", r["callee"]) for r in got.rows["refs"]] + [(page, "bound", a["var"]) for a in got.rows["assigns"]]
             yield pd.DataFrame(rows, columns=["page_id", "kind", "name"])
 
     code = F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), F.lit(1))).alias("code")
