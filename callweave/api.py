@@ -41,7 +41,7 @@ class DependencyGraph:
 
     def scope(self, include: list[str] | str | None = None, exclude: list[str] | str | None = None) -> dict:
         if include is None and exclude is None:
-            globs = D.suggest_scope(self.root)
+            globs = D.suggest_scope(D.listing(self.spark, self.root))
             now = D.read_scope(self.root) if os.path.exists(D.config_path(self.root)) else {}
             return {"dry_run": True, "current_config": now, "suggested_exclude": globs, "reason": "core and known vendor directories" if globs else "no vendor directories found"}
         config = D.write_scope(self.root, include, exclude)

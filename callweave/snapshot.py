@@ -16,7 +16,10 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,14 +84,23 @@ class Snapshots:
     def facts(self) -> Facts:
         return Facts(self.spark, **{t: self.table(t) for t in FACTS})
 
-    def check(self) -> None:
-        """Reads the manifest and every table's files; raises Corrupt if one is damaged."""
-        if self.current() is None:
+    def check(self, deep: bool = False) -> None:
+        """Reads the manifest and the footers of every table's files, or if deep all of them; raises Corrupt if one is damaged."""
+        version = self.current()
+        if version is None:
             return
         self.manifest()
         for t in (*FACTS, *DERIVED):
             try:
-                self.table(t).write.format("noop").mode("overwrite").save()
+                if deep:
+                    self.table(t).write.format("noop").mode("overwrite").save()
+                else:
+                    at = os.path.join(self.base, version, t)
+                    for name in os.listdir(at):
+                        if name.endswith(".parquet"):
+                            pq.read_metadata(os.path.join(at, name))
+            except (OSError, pa.ArrowException) as e:
+                raise Corrupt(f"{t}: {e}"[:300]) from e
             except PySparkException as e:
                 raise Corrupt(f"{t}: {e}"[:300]) from e
 
@@ -167,17 +179,22 @@ def index(spark: SparkSession, root: str, force: bool = False, now: float | None
     """Brings the index of a tree up to date and reports what was done.
 
     Only files whose time or size moved are read, only those whose hash moved are parsed; if nothing moved, nothing is
-    written.  A damaged version is moved aside and the tree indexed anew (healed in the result).
+    written.  A damaged version is moved aside and the tree indexed anew (healed in the result).  Manifest and footers
+    are looked at beforehand, whole tables only after an error.
     """
     root = D.guard_root(root)
     snaps = Snapshots(spark, root)
     with snaps.lock():
         try:
             snaps.check()
+            try:
+                return _index(snaps, force, now)
+            except PySparkException:
+                snaps.check(deep=True)
+                raise
         except Corrupt:
             snaps.quarantine()
             return _index(snaps, True, now) | {"healed": True}
-        return _index(snaps, force, now)
 
 
 def index_safe(spark: SparkSession, root: str, force: bool = False) -> dict:
@@ -207,9 +224,10 @@ def _index(snaps: Snapshots, force: bool, now: float | None) -> dict:
     fine = read.where("content is not null and not minified")
     touched = fine.where("hash = old_hash") if not force else fine.limit(0)
     fresh = fine.where("old_hash is null or hash <> old_hash") if not force else fine
-    n = {k: df.count() for k, df in (("discovered", listing), ("reindexed", fresh), ("removed", gone), ("unreadable", unreadable), ("large", large), ("minified", minified), ("looked", read))}
     stale = large.select("path").union(minified.select("path")).join(old.files.select("path"), "path", "left_semi")
-    n["dropped"] = stale.count()
+    parts = {"discovered": listing, "reindexed": fresh, "removed": gone, "unreadable": unreadable, "large": large, "minified": minified, "dropped": stale}
+    tagged = [df.select(F.lit(k).alias("k")) for k, df in parts.items()]
+    n = dict.fromkeys(parts, 0) | {r["k"]: r["count"] for r in reduce(DataFrame.union, tagged).groupBy("k").count().collect()}
     out = {"root": root, "discovered": n["discovered"], "reindexed": n["reindexed"], "unchanged": n["discovered"] - n["reindexed"] - n["unreadable"] - n["large"] - n["minified"], "removed": n["removed"], "unreadable": n["unreadable"], "skipped_large": n["large"] + n["minified"]}
     warnings = [(r["path"], f"skipped: {r['size']} bytes, the cap is {cap}") for r in large.select("path", "size").orderBy("path").limit(1000).collect()]
     warnings += [(r["path"], "skipped: looks minified or generated") for r in minified.select("path").orderBy("path").limit(1000).collect()]
@@ -239,7 +257,7 @@ def _index(snaps: Snapshots, force: bool, now: float | None) -> dict:
     out |= aggregates.site_counts(snaps.table("edges"), snaps.table("unresolved")).first().asDict()
     texts = [f"{p}: {w}" for p, w in sorted(warnings)]
     out |= {"warnings": texts[:20], "warning_count": len(texts) + extra + max(0, n["large"] - 1000) + max(0, n["minified"] - 1000)}
-    return out | scope_state(root, n["discovered"])
+    return out | scope_state(spark, root, n["discovered"])
 
 
 def _touch(snaps: Snapshots, touched: DataFrame) -> None:
@@ -261,11 +279,11 @@ def _touch(snaps: Snapshots, touched: DataFrame) -> None:
     snaps._drop_old(version, os.path.basename(at))
 
 
-def scope_state(root: str, files: int) -> dict:
+def scope_state(spark: SparkSession, root: str, files: int) -> dict:
     """How the tree is scoped, always; with a suggestion where it is large and is not."""
     if os.path.exists(D.config_path(root)):
         return {"scope": {"applied": True, **D.read_scope(root)}}
-    globs = D.suggest_scope(root) if files > L.SUGGEST_SCOPE_ABOVE else []
+    globs = D.suggest_scope(D.listing(spark, root)) if files > L.SUGGEST_SCOPE_ABOVE else []
     if not globs:
         return {"scope": {"applied": False, "files": files, "note": "not scoped; no scope is needed at this size"}}
     found = {"applied": False, "files": files, "suggested_exclude": globs, "reason": "core and known vendor directories of a WordPress tree", "directive": "Review the list and pass it to scope(exclude=...), so that rankings show the tree's own code."}

@@ -161,10 +161,13 @@ def test_discovery(spark, tmp_path):
         assert names() == {"a.py", "é ü.py", "B.PY", "backup_tool.py", "node_modules/x.js", ".hidden/y.py", "inner/w.py"}
 
 
-def test_vendor_directories_are_suggested(tmp_path):
+def test_vendor_directories_are_suggested(spark, tmp_path):
     root = str(tmp_path)
     put(root, {"wp-config.php": "", "wp-admin/x.php": "", "wp-content/plugins/Akismet/a.php": "", "wp-content/plugins/own/b.php": "", "wp-content/themes/astra/c.php": ""})
-    assert discovery.suggest_scope(root) == ["wp-admin/*", "*/wp-admin/*", "wp-content/plugins/Akismet/*", "wp-content/themes/astra/*"]
+    found = lambda: discovery.suggest_scope(discovery.listing(spark, root))
+    assert found() == ["wp-admin/*", "*/wp-admin/*", "wp-content/plugins/Akismet/*", "wp-content/themes/astra/*"]
+    assert discovery.suggest_scope(spark.createDataFrame([("a/wp-admin/x.php",), ("plugins/akismet/a.php",)], "path string")) == []
+    assert discovery.suggest_scope(spark.createDataFrame([], "path string")) == []
 
 
 def test_roots(tmp_path):
@@ -209,6 +212,30 @@ def test_watching_a_tree(spark, tree, tmp_path):
     assert DependencyGraph(spark, tree).find("other")["matches"]
 
 
+def test_a_change_before_the_watcher_starts(spark, tree, tmp_path):
+    snapshot.index(spark, tree)
+    put(tree, {"shop/early.py": "def early():\n    return 1\n"})
+    os.remove(os.path.join(tree, "shop", "tax.py"))
+    reader = watcher._Reader(tree, str(tmp_path / "state"))
+    first = reader.initialOffset()
+    rows, end = reader.read(first)
+    assert [(r[0], r[3]) for r in rows] == [("shop/early.py", "new"), ("shop/tax.py", "deleted")]
+    assert [(r[0], r[3]) for r in reader.readBetweenOffsets(first, end)] == [("shop/early.py", "new"), ("shop/tax.py", "deleted")]
+    reader.commit(end)
+    assert os.listdir(tmp_path / "state") == [end["listing"]]
+    again, same = reader.read(end)
+    assert not list(again) and same == end
+    seen = []
+    query = watcher.start(spark, tree, f"file://{tmp_path}/watch2", 0.5, lambda n, done: seen.append(done))
+    try:
+        stop = time.time() + 90
+        while not seen and time.time() < stop:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert seen and seen[0].get("reindexed") == 1 and seen[0].get("removed") == 1
+
+
 def test_moves_and_claims(tree):
     a = {"x": (1.0, 1), "y": (1.0, 1)}
     assert watcher.moved(a, {"x": (1.0, 2), "z": (3.0, 1)}) == [("x", 1.0, 2, "modified"), ("z", 3.0, 1, "new"), ("y", 1.0, 1, "deleted")]
