@@ -169,9 +169,12 @@ class DependencyGraph:
         edges, symbols = self.table("edges"), self.table("symbols")
         drop = lambda rows: [{k: v for k, v in r.asDict().items() if k != "id"} for r in rows]
         out: dict = {"most_depended_upon": drop(centrality.hotspots(edges, symbols, top).collect())}
-        scores = centrality.betweenness(edges, betweenness_nodes)
-        out["betweenness_computed"] = scores is not None
-        if scores is not None:
+        try:
+            scores = centrality.betweenness(edges, betweenness_nodes)
+        except centrality.TooLarge:
+            scores = None
+        out["betweenness_computed"] = scores is not None and not scores.isEmpty()
+        if out["betweenness_computed"]:
             out["most_central"] = drop(centrality.hotspots(edges, symbols, top, scores).collect())
         files = sorted({r["file"] for r in out["most_depended_upon"] if r["suspected_shadow"]})
         if files:

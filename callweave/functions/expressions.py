@@ -60,6 +60,21 @@ def module_matches(path: Column, module: Column, fam: Column) -> Column:
     return F.when(fam == "python", python).otherwise((tail != "") & F.when(fam == "go", go).otherwise(stem))
 
 
+def module_tail(module: Column, fam: Column) -> Column:
+    """The last segment of a module's name, which module_tails of the files that module_matches accepts include."""
+    dotted = F.element_at(F.split(F.replace(module, F.lit("."), F.lit("/")), "/"), -1)
+    return F.when(fam == "python", dotted).otherwise(F.split_part(F.element_at(F.split(module, "/"), -1), F.lit("."), F.lit(1)))
+
+
+def module_tails(path: Column, fam: Column) -> Column:
+    """The last segments under which modules can mean a file."""
+    parts = F.split(F.concat(F.lit("/"), path), "/")
+    parent, base = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), F.element_at(parts, -1)
+    stem = F.regexp_replace(base, r"\.py\z", "")
+    python = F.when(stem == "__init__", F.array(stem, parent)).otherwise(F.array(stem))
+    return F.when(fam == "python", python).when(fam == "go", F.array(parent)).otherwise(F.array(F.split_part(base, F.lit("."), F.lit(1))))
+
+
 def entry_class(hook: Column) -> Column:
     """ajax_nopriv, admin_post_nopriv, ajax or admin_post for the hooks a request can reach; else null."""
     fits = lambda p: hook.startswith(p + "_") | (hook == p)

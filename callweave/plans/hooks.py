@@ -19,10 +19,15 @@ def constants(assigns: DataFrame) -> DataFrame:
 
 
 def _substituted(hooks: DataFrame, text: str, pieces: str, token: Column, consts: DataFrame) -> DataFrame:
-    """hooks with column `text` rebuilt from its pieces, each replaced by its constant if it has one."""
-    p = hooks.select("id", "container", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pieces), F.lit(0))).alias("pos", "piece")).withColumn("token", token)
-    p = p.join(consts, "token", "left").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "piece").alias("s")))), lambda x: x["s"]), "").alias("_new"))
-    return hooks.join(p, "id", "left").withColumn(text, F.coalesce("_new", text)).drop("_new")
+    """hooks with column `text` rebuilt from its pieces, each replaced by its constant if it has one.
+
+    Only different pieces meet the constants and only hooks with a hit are gathered; the text is rebuilt in place.
+    """
+    cut = F.regexp_extract_all(F.col(text), F.lit(pieces), F.lit(0))
+    p = hooks.select("id", "container", F.explode(F.array_distinct(cut)).alias("piece")).withColumn("token", token).where("token is not null")
+    hits = p.join(consts, "token").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("piece", "value"))).alias("_map"))
+    rebuilt = F.array_join(F.transform(cut, lambda x: F.coalesce(F.try_element_at("_map", x), x)), "")
+    return hooks.join(hits, "id", "left").withColumn(text, F.when(F.col("_map").isNull(), F.col(text)).otherwise(rebuilt)).drop("_map")
 
 
 def with_constants(hooks: DataFrame, facts: Facts) -> DataFrame:

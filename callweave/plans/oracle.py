@@ -19,10 +19,13 @@ symbols AS (
 defs AS (SELECT *, CASE WHEN lang = 'javascript' THEN 'js' ELSE lang END AS fam, kind = 'function' OR (kind = 'method' AND container IS NULL) AS free,
   kind = 'method' AND container IS NOT NULL AS method, kind = 'class' AS class FROM symbols),
 refs AS (
-  SELECT ((x.l_orderkey * 8 + x.l_linenumber) * 1000000 + x.l_partkey) * 10000 + x.l_suppkey AS ref_id, c.p_type AS file, p.lang, p.p_name AS callee,
-    CASE flag WHEN 'A' THEN '' WHEN 'N' THEN 'self' ELSE p.p_brand END AS receiver, x.l_linenumber::INT AS line, c.p_partkey AS src_symbol
-  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL) x
-  CROSS JOIN np JOIN parts p ON p.p_partkey = x.l_partkey JOIN parts c ON c.p_partkey = x.l_orderkey % np.n),
+  SELECT ref_id, c.p_type AS file, y.lang, callee, receiver, line, c.p_partkey AS src_symbol FROM (
+    -- the numbering keeps the two joins apart
+    SELECT *, row_number() OVER () AS rn FROM (
+      SELECT ((x.l_orderkey * 8 + x.l_linenumber) * 1000000 + x.l_partkey) * 10000 + x.l_suppkey AS ref_id, p.lang, p.p_name AS callee,
+        CASE flag WHEN 'A' THEN '' WHEN 'N' THEN 'self' ELSE p.p_brand END AS receiver, x.l_linenumber::INT AS line, l_orderkey % np.n AS at
+      FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL) x
+      CROSS JOIN np JOIN parts p ON p.p_partkey = x.l_partkey)) y JOIN parts c ON c.p_partkey = y.at),
 assigns AS (
   SELECT s.p_type AS file, s.lang, CASE WHEN o.o_orderstatus <> 'P' OR k = 'mixin' THEN s.p_partkey END AS scope_symbol, v.p_brand AS var,
     CASE WHEN k = 'shadow' THEN '' ELSE c.p_brand END AS cls, k AS kind
@@ -83,6 +86,28 @@ edges AS (
   FROM kept k JOIN r USING (ref_id)),
 lost AS (SELECT file, lang, callee, receiver, line, src_symbol, ref_id FROM r WHERE ref_id NOT IN (SELECT ref_id FROM kept))"""
 
+MODULES = f"""
+np AS (SELECT count(*) AS n FROM part),
+place AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, 'pkg' || regexp_extract(p_brand, '([0-9]+)', 1) AS pkg, 'mod' || (p_size % 7) AS mod, {_LANGS}[(p_size % 5) + 1] AS lang,
+  ['.py', '.js', '.php', '.rb', '.go'][(p_size % 5) + 1] AS ext FROM part),
+def AS (SELECT k AS id, name, CASE WHEN k % 2 <> 0 THEN brand END AS container, lang, pkg, mod FROM place),
+imp AS (SELECT DISTINCT 'src/' || a.pkg || '/' || a.mod || a.ext AS file, b.lang AS lang_b, b.pkg AS pkg_b, b.mod AS mod_b
+  FROM orders CROSS JOIN np JOIN place a ON a.k = o_orderkey % np.n JOIN place b ON b.k = (o_custkey * 3) % np.n),
+bound AS (SELECT DISTINCT file, CASE WHEN lang_b = 'python' THEN pkg_b || '.' || mod_b WHEN lang_b = 'go' THEN pkg_b ELSE mod_b END AS module FROM imp),
+x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+y AS (SELECT *, row_number() OVER () AS rn FROM (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS ref_id, l_linenumber::INT AS line, l_orderkey, flag, p.lang, p.name AS callee, p.pkg, p.mod,
+  CASE WHEN p.lang = 'python' THEN p.pkg || '.' || p.mod WHEN p.lang = 'go' THEN p.pkg ELSE p.mod END AS module, l_orderkey % np.n AS at FROM x CROSS JOIN np JOIN place p ON p.k = x.l_partkey)),
+z AS (SELECT *, row_number() OVER () AS rn2 FROM (SELECT y.*, c.k, 'src/' || c.pkg || '/' || c.mod || c.ext AS file, CASE WHEN l_orderkey % 9 <> 0 AND c.k % 2 <> 0 THEN c.brand END AS owner FROM y JOIN place c ON c.k = y.at)),
+ref AS (SELECT z.ref_id, z.file, z.lang, callee, CASE WHEN flag = 'A' THEN 'super()' ELSE z.module END AS receiver, z.line, CASE WHEN l_orderkey % 9 <> 0 THEN k END AS src_symbol, owner, pkg, mod,
+  CASE WHEN flag = 'A' THEN 'super' WHEN b.module IS NOT NULL THEN 'module' ELSE 'instance' END AS shape
+  FROM z LEFT JOIN bound b ON b.file = z.file AND b.module = z.module),
+hits AS (
+  SELECT ref.*, def.id AS dst FROM ref JOIN def ON def.lang = ref.lang AND def.name = ref.callee WHERE CASE shape
+    WHEN 'super' THEN def.container IS NOT NULL AND def.container IS DISTINCT FROM owner
+    WHEN 'instance' THEN def.container IS NOT NULL
+    ELSE def.container IS NULL AND CASE ref.lang WHEN 'python' THEN def.pkg = ref.pkg AND def.mod = ref.mod WHEN 'go' THEN def.pkg = ref.pkg ELSE def.mod = ref.mod END END),
+counted AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n FROM hits)"""
+
 GRAPH = f"""
 nc AS (SELECT count(*) AS n FROM customer),
 gsym AS (SELECT c_custkey AS id, n_name AS file, c_name AS name, c_mktsegment AS container, c_mktsegment || '.' || c_name AS symbol, (c_custkey % 1000)::INT AS line FROM customer JOIN nation ON n_nationkey = c_nationkey),
@@ -132,6 +157,8 @@ ORACLE = {
     "site_counts": f"""WITH {RESOLVED} SELECT count(DISTINCT ref_id) FILTER (resolution = 'exact') AS edges_exact, count(DISTINCT ref_id) FILTER (resolution = 'inferred') AS edges_inferred,
       count(DISTINCT ref_id) FILTER (resolution = 'ambiguous') AS edges_ambiguous, 0::BIGINT AS edges_hook, count(*) AS edge_rows, (SELECT count(*) FROM lost) AS unresolved FROM edges""",
     "call_shapes": f"WITH {SHAPES} SELECT fam, shape, masked, count(*) AS n, count(tclass) AS typed FROM r GROUP BY ALL",
+    "module_edges": f"""WITH {MODULES} SELECT src_symbol AS src, dst, 'calls' AS kind, CASE WHEN n > 1 THEN 'ambiguous' WHEN shape = 'module' AND lang = 'python' THEN 'exact' ELSE 'inferred' END AS resolution, file, line, ref_id FROM counted""",
+    "module_unresolved": f"WITH {MODULES} SELECT file, lang, callee, receiver, line, src_symbol, ref_id FROM ref WHERE ref_id NOT IN (SELECT ref_id FROM hits)",
     "type_env": f"WITH {FACTS} SELECT scope_symbol AS scope, var, cls, tkind, known FROM known WHERE scope_symbol IS NOT NULL",
     "mixins": f"WITH {FACTS} SELECT fam, owner, module FROM mixed",
     "imports_expanded": """WITH i AS (SELECT 'page' || page_id AS file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS module FROM pages)
@@ -155,6 +182,15 @@ ORACLE = {
     "scc": _SCC,
     "cycles": f"""WITH {GRAPH}, ce AS (SELECT DISTINCT src, dst FROM gedge WHERE resolution NOT IN ('inferred', 'hook')), {_CLOSURE.format(pairs='ce')}
       SELECT count(*)::INT AS size, component AS first FROM comp GROUP BY component HAVING count(*) >= 2 UNION ALL SELECT 1, src FROM ce WHERE src = dst""",
+    "betweenness": f"""WITH {GRAPH}, walk AS (
+        WITH RECURSIVE w(s, t, d) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT w.s, p.dst, w.d + 1 FROM w JOIN pairs p ON p.src = w.t WHERE w.d < 400) SELECT * FROM w),
+      dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY s, t),
+      paths AS (WITH RECURSIVE w(s, t, d, sigma) AS (
+        SELECT s, t, d, 1::DOUBLE FROM dist WHERE d = 0
+        UNION ALL SELECT w.s, p.dst, w.d + 1, sum(w.sigma) FROM w JOIN pairs p ON p.src = w.t JOIN dist ON dist.s = w.s AND dist.t = p.dst AND dist.d = w.d + 1 GROUP BY w.s, p.dst, w.d)
+        SELECT * FROM w),
+      part_ AS (SELECT a.t AS id, sum(a.sigma * b.sigma / c.sigma) AS score FROM paths a JOIN paths b ON b.s = a.t AND b.d > 0 JOIN paths c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.d > 0 AND b.t <> a.s GROUP BY a.t)
+      SELECT n.id, round(coalesce(score, 0), 3) AS score FROM (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs) n LEFT JOIN part_ USING (id)""",
     "fan_counts": f"WITH {GRAPH}, {_FAN} SELECT * FROM fan",
     "hotspots_fan_in": f"""WITH {GRAPH}, {_FAN} SELECT id, symbol, file, line, fan_in, fan_out, dependents, fan_in::DOUBLE AS score, fan_in >= greatest(100, 0.03 * (SELECT sum(fan_in) FROM fan)) AS suspected_shadow
       FROM fan JOIN gsym USING (id) WHERE fan_in > 0 ORDER BY fan_in DESC, id LIMIT 20""",

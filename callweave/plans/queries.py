@@ -58,6 +58,17 @@ def call_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("fam", "shape", R.masked(r).alias("masked")).agg(F.count("*").alias("n"), F.count("tclass").alias("typed"))
 
 
+@query
+def module_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls through imported modules and through parents."""
+    return R.call_edges(R.resolve_refs(T.module_facts(spark, sf)))
+
+
+@query
+def module_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    return R.unresolved_calls(R.resolve_refs(T.module_facts(spark, sf)))
+
+
 @query
 def type_env(spark: SparkSession, sf: str) -> DataFrame:
     f = T.facts(spark, sf, "symbols", "assigns")

@@ -76,6 +76,46 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p
 
 
+#: File extensions of the dialects of `module_symbols`.
+EXTENSIONS = (".py", ".js", ".php", ".rb", ".go")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as definitions in files of packages: k, name, brand, pkg, mod, lang, file."""
+    p = read(spark, sf_dir, "part")
+    pkg, mod = F.concat(F.lit("pkg"), F.regexp_extract("p_brand", r"(\d+)", 1)), F.concat(F.lit("mod"), F.col("p_size") % 7)
+    ext = F.element_at(F.array(*[F.lit(x) for x in EXTENSIONS]), (F.col("p_size") % len(EXTENSIONS)).cast("int") + 1)
+    return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), pkg.alias("pkg"), mod.alias("mod"), _lang(F.col("p_size")).alias("lang"), F.concat(F.lit("src/"), pkg, F.lit("/"), mod, ext).alias("file"))
+
+
+def module_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, free = _places(spark, sf_dir), F.col("k") % 2 == 0
+    return p.select(F.col("k").alias("id"), "file", "name", F.when(free, "function").otherwise("method").alias("kind"), F.when(~free, F.col("brand")).alias("container"), "lang", F.lit(1).alias("start_line"), F.col("k").alias("start_byte"))
+
+
+def module_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as calls through a parent (flag A) or through the module of the part; every ninth stands outside any definition."""
+    p, n = _places(spark, sf_dir), read(spark, sf_dir, "part").select(F.count("*").alias("n"))
+    x = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"))
+    x = x.crossJoin(F.broadcast(n)).withColumn("at", F.col("l_orderkey") % F.col("n"))
+    x = x.join(p.select(F.col("k").alias("l_partkey"), F.col("name").alias("callee"), "lang", "pkg", "mod"), "l_partkey").join(p.select(F.col("k").alias("at"), "file"), "at")
+    module = F.when(F.col("lang") == "python", F.concat("pkg", F.lit("."), "mod")).when(F.col("lang") == "go", F.col("pkg")).otherwise(F.col("mod"))
+    ident = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+    return x.select(ident.alias("id"), "file", "lang", "callee", F.when(F.col("flag") == "A", "super()").otherwise(module).alias("receiver"), F.col("l_linenumber").cast("int").alias("line"), F.when(F.col("l_orderkey") % 9 != 0, F.col("at")).alias("src_symbol"))
+
+
+def module_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as imports of one part's module by another part's file; in Python dotted, elsewhere as a path."""
+    p, n = _places(spark, sf_dir), read(spark, sf_dir, "part").select(F.count("*").alias("n"))
+    o = read(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select((F.col("o_orderkey") % F.col("n")).alias("a"), ((F.col("o_custkey") * 3) % F.col("n")).alias("b"))
+    module = F.when(F.col("lang") == "python", F.concat("pkg", F.lit("."), "mod")).when(F.col("lang") == "go", F.concat(F.lit("tree.org/"), "pkg")).otherwise(F.concat(F.lit("./"), "pkg", F.lit("/"), "mod"))
+    return o.join(p.select(F.col("k").alias("a"), "file"), "a").join(p.select(F.col("k").alias("b"), module.alias("module")), "b").select("file", "module")
+
+
+def module_facts(spark: SparkSession, sf_dir: str) -> Facts:
+    return Facts(spark, symbols=stored(module_symbols(spark, sf_dir), "symbols"), refs=stored(module_refs(spark, sf_dir), "refs"), imports=stored(module_imports(spark, sf_dir), "imports"))
+
+
 def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     n = p.select(F.count("*").alias("n"))

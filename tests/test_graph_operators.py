@@ -124,7 +124,14 @@ def test_betweenness(spark):
     want = betweenness_by_hand(edges)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert centrality.betweenness(frame(spark, edges), max_nodes=5) is None
-    assert centrality.betweenness(frame(spark, [])) is None
+    assert centrality.betweenness(frame(spark, [])).count() == 0
+    with pytest.raises(centrality.TooLarge):
+        centrality.betweenness(frame(spark, edges), local_edges=10)
+    # many sources at once, with several paths of equal length
+    edges = random_edges(7, 60, 400)
+    got = {r["id"]: r["score"] for r in centrality.betweenness(frame(spark, edges)).collect()}
+    want = betweenness_by_hand(edges)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_fan_counts_sites_not_rows(spark):
