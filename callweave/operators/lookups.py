@@ -30,6 +30,16 @@ def by_file(symbols: DataFrame, target: str) -> DataFrame:
     return symbols.where(targets_file(F.col("file"), target))
 
 
+def by_ids(symbols: DataFrame, ids: DataFrame) -> DataFrame:
+    """The definitions whose id is among `ids` (id); one id or many, it is a join."""
+    return symbols.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def file_states(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, hash, mtime, size) of the stored files among `paths` (path)."""
+    return files.join(paths.select("path").distinct(), "path", "left_semi").select("path", "hash", "mtime", "size")
+
+
 def labelled(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", label(F.col("container"), F.col("name")).alias("symbol"), "kind", "file", F.col("start_line").alias("line"), "lang")
 

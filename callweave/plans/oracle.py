@@ -151,7 +151,84 @@ cb AS (SELECT id, max(dst) AS callback_symbol FROM (SELECT *, min(rank) OVER (PA
 _CLASSIFIED = f"""{_HOOKS},
 cl AS (SELECT *, CASE WHEN listen AND hook LIKE 'wp\\_ajax\\_nopriv\\_%' ESCAPE '\\' THEN 'ajax_nopriv' WHEN listen AND hook LIKE 'admin\\_post\\_%' ESCAPE '\\' THEN 'admin_post' END AS entry FROM hooks)"""
 
+_PROGRAM_LANGS = "['python', 'javascript', 'typescript', 'tsx', 'php', 'ruby', 'go']"
+
+
+def _programs(table: str, columns: str, rows: list[str]) -> str:
+    """Facts of the generated programs as literal rows (lang first), with the marks of a part filled in."""
+    names = columns.split(", ")
+    texts = [c for c in names if not c.endswith("line")]
+    fill = lambda c: f"replace(replace(replace(replace({c}, '%C', replace(p_brand, '#', '')), '%f', replace(p_name, ' ', '_')), '%g', 'go' || p_partkey % 97), '%m', 'mod' || p_size)"
+    out = ", ".join(f"{fill(c)} AS {c}" if c in texts else c for c in names)
+    return f"SELECT 'p' || p_partkey AS file, {out} FROM part JOIN (VALUES {', '.join(rows)}) AS {table}(l, {columns}) ON l = {_PROGRAM_LANGS}[(p_size % 7) + 1]"
+
+
+_SYMBOL_ROWS = [
+    "('python', '%C', 'class', NULL, 2, 7, 'class %C:')", "('python', '%f', 'method', '%C', 3, 7, 'def %f(self, x: %C):')",
+    "('javascript', '%C', 'class', NULL, 2, 9, 'class %C {')", "('javascript', '%f', 'method', '%C', 3, 8, '%f(a) {')",
+    "('typescript', '%C', 'class', NULL, 2, 9, 'class %C {')", "('typescript', '%f', 'method', '%C', 3, 8, '%f(a: %C): number {')",
+    "('tsx', '%f', 'function', NULL, 2, 6, 'function %f(a: %C) {')",
+    "('php', '%C', 'class', NULL, 2, 10, 'class %C {')", "('php', '%f', 'method', '%C', 3, 9, 'function %f($a) {')",
+    "('ruby', '%C', 'class', NULL, 2, 10, 'class %C')", "('ruby', '%f', 'method', '%C', 4, 9, 'def %f(a)')",
+    "('go', '%C', 'class', NULL, 5, 5, '%C struct{}')", "('go', '%f', 'method', '%C', 7, 12, 'func (r *%C) %f(a int) int {')",
+]
+_CALL_ROWS = [
+    "('python', '%C', NULL, 4, '%f')", "('python', '%g', 'self', 5, '%f')", "('python', '%g', 'y', 6, '%f')", "('python', '%g', NULL, 7, '%f')",
+    "('javascript', '%g', 'this', 5, '%f')", "('javascript', '%g', 'y', 6, '%f')", "('javascript', '%g', NULL, 7, '%f')",
+    "('typescript', '%g', 'this', 5, '%f')", "('typescript', '%g', 'y', 6, '%f')", "('typescript', '%g', NULL, 7, '%f')",
+    "('tsx', '%g', 'y', 4, '%f')", "('tsx', '%g', NULL, 5, '%f')",
+    "('php', '%g', '$this', 5, '%f')", "('php', '%g', '$y', 6, '%f')", "('php', '%g', '%C', 7, '%f')", "('php', '%g', NULL, 8, '%f')", "('php', 'add_action', NULL, 11, NULL)", "('php', 'do_action', NULL, 12, NULL)",
+    "('ruby', 'require', NULL, 1, NULL)", "('ruby', 'include', NULL, 3, '%C')", "('ruby', 'new', '%C', 5, '%f')", "('ruby', '%g', 'self', 6, '%f')", "('ruby', '%g', 'y', 7, '%f')", "('ruby', '%g', NULL, 8, '%f')",
+    "('go', '%g', 'r', 9, '%f')", "('go', '%g', 'y', 10, '%f')", "('go', '%g', NULL, 11, '%f')",
+]
+_BINDING_ROWS = [
+    "('python', 'x', '%C', 'hint', '%f')", "('python', 'y', '%C', 'construct', '%f')", "('javascript', 'y', '%C', 'construct', '%f')", "('typescript', 'a', '%C', 'hint', '%f')", "('typescript', 'y', '%C', 'construct', '%f')",
+    "('tsx', 'a', '%C', 'hint', '%f')", "('tsx', 'y', '%C', 'construct', '%f')", "('php', 'y', '%C', 'construct', '%f')", "('ruby', '<mixin>', 'Help', 'mixin', '%C')", "('ruby', 'y', '%C', 'construct', '%f')",
+    "('go', 'r', '%C', 'construct', '%f')", "('go', 'y', '%C', 'construct', '%f')",
+]
+_IMPORT_ROWS = ["('python', '%m.util')", "('javascript', './%m/util')", "('typescript', './%m/util')", "('tsx', './%m/util')", "('go', '%m/util')"]
+_HOOK_ROWS = ["('php', 'listen', '%m', 'action', 'free', '%g', 11)", "('php', 'fire', '%m', 'fire', NULL, NULL, 12)"]
+
+_PYTHON = f"""{FACTS},
+ph AS (
+  SELECT event_id AS id, h.p_type AS file, event_id % 20 = 0 AS listen, CASE WHEN user_id % 6 = 0 THEN 'post_save' ELSE 'sig' || (user_id + event_id) % 40 END AS hook,
+    h.p_partkey AS enclosing, c.p_name AS cb_name, ['@receiver', '@task', 'connect', 'route'][(user_id % 4) + 1] AS how, CASE WHEN user_id % 2 = 0 THEN 'signal' ELSE 'task' END AS tag
+  FROM events CROSS JOIN np JOIN part h ON h.p_partkey = event_id % np.n JOIN part c ON c.p_partkey = (event_id * 7 + user_id) % np.n),
+ev AS (SELECT 'post_save' AS hook UNION SELECT 'sig' || s_suppkey FROM supplier WHERE s_suppkey < 10 UNION SELECT hook FROM ph WHERE listen AND how IN ('@receiver', '@task')),
+sure AS (SELECT * FROM ph WHERE (listen AND how IN ('@receiver', '@task', 'route')) OR hook IN (SELECT hook FROM ev))"""
+_CONST = """tok AS (
+  SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'NAME_' || s_suppkey % 70 ELSE 'Brand' || s_suppkey % 25 || '::KEY' END AS token,
+    'v' || CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey WHEN s_suppkey % 2 = 0 THEN s_suppkey % 70 ELSE s_suppkey % 25 END AS v FROM supplier),
+one AS (SELECT token, max(v) AS v FROM tok GROUP BY token HAVING count(DISTINCT v) = 1),
+hk AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'NAME_' || user_id % 70 WHEN 1 THEN 'Brand' || user_id % 25 || '::KEY' ELSE 'self::KEY' END AS raw,
+  CASE event_id % 3 WHEN 0 THEN 'NAME_' || user_id % 70 WHEN 1 THEN 'Brand' || user_id % 25 || '::KEY' ELSE replace(p_brand, '#', '') || '::KEY' END AS token
+  FROM events, (SELECT count(*) AS n FROM part) JOIN part ON p_partkey = event_id % n)"""
+
 ORACLE = {
+    "extracted_symbols": _programs("s", "name, kind, container, start_line, end_line, signature", _SYMBOL_ROWS),
+    "extracted_calls": _programs("c", "callee, receiver, line, inside", _CALL_ROWS),
+    "extracted_bindings": _programs("b", "var, cls, kind, inside", _BINDING_ROWS),
+    "extracted_imports": _programs("i", "module", _IMPORT_ROWS),
+    "extracted_hooks": _programs("h", "kind, hook, hook_class, cb_kind, cb_name, line", _HOOK_ROWS),
+    "program_edges": f"""WITH d AS (SELECT {_PROGRAM_LANGS}[(p_size % 7) + 1] AS lang, replace(p_brand, '#', '') AS c FROM part),
+      n AS (SELECT lang, c, count(*) AS k FROM d GROUP BY ALL)
+      SELECT lang, c AS callee, 'exact' AS resolution, k AS n FROM n WHERE lang = 'python'""",
+    "hook_constants": f"WITH {_CONST} SELECT id, 'on.' || coalesce(v, raw) || '.end' AS hook, 'on.' || raw || '.end' AS hook_raw FROM hk LEFT JOIN one USING (token)",
+    "python_trusted": f"WITH {_PYTHON} SELECT id, CASE WHEN listen THEN 'listen' ELSE 'fire' END AS kind, hook FROM sure",
+    "python_dispatch": f"""WITH {_PYTHON},
+      pc AS (SELECT s.id, d.id AS dst, CASE WHEN d.file = s.file THEN 1 ELSE 2 END AS rank FROM sure s JOIN defs d ON d.fam = 'python' AND d.name = s.cb_name AND d.free WHERE s.listen),
+      pb AS (SELECT id, max(dst) AS dst FROM (SELECT *, min(rank) OVER (PARTITION BY id) AS top FROM pc) WHERE rank = top GROUP BY id HAVING count(*) = 1)
+      SELECT f.enclosing AS src, pb.dst, f.file, count(*) AS n FROM sure f JOIN sure l ON l.hook = f.hook AND l.listen AND NOT f.listen AND l.how <> 'route' AND f.tag = CASE l.how WHEN '@task' THEN 'task' ELSE 'signal' END
+      JOIN pb ON pb.id = l.id GROUP BY ALL""",
+    "hook_listeners": f"""WITH {_HOOKS} SELECT h.id, hook, h.file, coalesce(CASE WHEN s.container IS NULL THEN s.name ELSE s.container || '.' || s.name END, h.cb_name) AS callback, s.file AS cb_file, s.start_line AS cb_line
+      FROM hooks h LEFT JOIN symbols s ON s.id = h.enclosing AND s.id % 2 = 0 WHERE listen AND hook = 'click_5'""",
+    "hook_fires": f"WITH {_HOOKS} SELECT id, file, (id % 100 + 1)::INT AS line FROM hooks WHERE NOT listen AND hook = 'click_5'",
+    "hooks_by_callback": f"WITH {_HOOKS} SELECT id, CASE WHEN listen THEN 'listen' ELSE 'fire' END AS kind, hook FROM hooks WHERE enclosing = 7",
+    "symbols_by_id": f"WITH {FACTS} SELECT id, name, file FROM symbols WHERE id IN (SELECT s_suppkey * 3 FROM supplier)",
+    "file_states": "SELECT url AS path, sha1(html) AS hash, page_id::DOUBLE AS mtime, octet_length(encode(html)) AS size FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
+    "is_called": f"WITH {GRAPH} SELECT id, EXISTS (SELECT 1 FROM gedge WHERE gedge.dst = v.id) AS called FROM (VALUES (3::BIGINT), (1000000000::BIGINT)) v(id)",
+    "receivers": """SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_brand || '.' || p_name ELSE p_name END AS label, p_name AS receiver, list_last(string_split(p_name, ' ')) AS tail, NULL::VARCHAR AS no_tail,
+      least(greatest(p_size, 1), 25)::INT AS depth, list_last(string_split(p_name, ' ')) = 'widget' AS hit FROM part""",
     "resolve_edges": f"WITH {RESOLVED} SELECT * FROM edges",
     "resolve_unresolved": f"WITH {RESOLVED} SELECT * FROM lost",
     "site_counts": f"""WITH {RESOLVED} SELECT count(DISTINCT ref_id) FILTER (resolution = 'exact') AS edges_exact, count(DISTINCT ref_id) FILTER (resolution = 'inferred') AS edges_inferred,
