@@ -1,103 +1,200 @@
-"""Exact de-duplication through an extendible-hash index kept in shared files (DataFrame functions only).
-
-A text's key is the 64-bit hash of its normalised form.  The directory is addressed by the first bits of the key;
-a bucket with more than `capacity` rows is split by one more bit, which doubles the directory where the bucket was
-as deep as the directory, up to `max_depth` bits.  The buckets only label the entries: a plain grouped aggregate over
-(bucket, key, text) does the work, spread by key and text, so equal keys are told apart by their bytes and no task
-owns a bucket.  Copies are counted before the shuffle, so a text that fills a third of the corpus reaches its group as
-one row per input task.  The entries (no texts, but their SHA-256) are written to shared files with their bucket;
-documents find their entry again by digest.
+"""Exact de-duplication through an extendible-hash index in shared files (DataFrame functions only).
+
+A text's key is the 64-bit hash of its normalised form.  The directory is addressed by the first bits of the key and
+maps every slot to a bucket, a range of keys.  A bucket with more than `capacity` different keys is split by one more
+bit; where it was as deep as the directory, the directory doubles.  Directory and entries are files of the index; a
+later load starts from them, splits what its new keys overfill, and moves the entries of split buckets.
+
+Rows are dealt by bucket, so one task owns all of a bucket's key range: it sorts the range by key and text, numbers the
+different texts under one key (the chain, told apart by their bytes), and finds the row that stays, without any look-up
+afterwards.  A key that very many rows share is dealt over several tasks, each of which compares bytes on its part;
+only the first row of each text per part meets the others.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm import common
 
+#: Different keys in a bucket, and the least share of them all (so that the directory stays bounded).
+CAPACITY, BUCKETS = 2_000, 1 << 15
+#: Rows of one key that one task takes, and the least share of all rows (so that there are at most 65,536 hot keys).
+HOT, HOT_SHARE = 500, 1 << 16
+#: Bits of the key beyond the even depth that the directory can tell apart.
+SPARE = 3
+
+_ENTRY = "bucket int, depth int, key long, chain int, text string, keep_id long, group_size long"
+
 
 def normalised(text: Column) -> Column:
     return common.ascii_lower(F.coalesce(text, F.lit("")))
 
 
 def _prefix(key: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - bits)
+    return F.shiftrightunsigned(key, 64 - bits) if bits else key * 0
 
 
-def split_directory(counts: dict[int, int], max_depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Buckets (first slot, last slot, local depth) over 2^max_depth slots, given the rows in each slot.
+def split_directory(counts: dict[int, int], bits: int, capacity: int, buckets: list[tuple[int, int]] = [(0, 0)]) -> list[tuple[int, int]]:  # noqa: B006
+    """Buckets (prefix, depth) after splitting, in order of their keys.
 
-    One bucket of depth 0 is split while it is overfull and has bits left; slots are those of a directory of
-    max_depth bits, of which a bucket of depth d covers 2^(max_depth - d).
+    counts: keys in each slot of a directory of `bits` bits.  `buckets` are those before: a bucket is the range of
+    keys that begin with the `depth` bits of `prefix`.  One is split while it is overfull and has bits left.
     """
     sums = [0]
-    for slot in range(1 << max_depth):
+    for slot in range(1 << bits):
         sums.append(sums[-1] + counts.get(slot, 0))
-    out, todo = [], [(0, 0)]
+    out, todo = [], sorted(buckets, key=lambda b: b[0] / (1 << b[1]), reverse=True)
     while todo:
-        first, depth = todo.pop()
-        width = 1 << (max_depth - depth)
-        if depth < max_depth and sums[first + width] - sums[first] > capacity:
-            todo += [(first + width // 2, depth + 1), (first, depth + 1)]
-        else:
-            out.append((first, first + width - 1, depth))
+        prefix, depth = todo.pop()
+        if depth < bits:
+            width = 1 << (bits - depth)
+            if sums[(prefix + 1) * width] - sums[prefix * width] > capacity:
+                todo += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
+                continue
+        out.append((prefix, depth))
     return out
 
 
-def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000, max_depth: int = 12) -> DataFrame:
-    """Writes the index files and returns them: bucket, depth, chain, key, text_sha256, n_bytes, keep_id, group_size.
+def directory_of(buckets: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+    """(global depth, rows (slot, bucket, depth)): all slots of the smallest directory that addresses the buckets."""
+    bits = max(d for _, d in buckets)
+    return bits, [(slot, n, d) for n, (prefix, d) in enumerate(buckets) for slot in range(prefix << (bits - d), (prefix + 1) << (bits - d))]
+
+
+class Index:
+    """An extendible-hash index in a shared folder: one directory and one set of entries per generation."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def _folder(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def generation(self) -> int:
+        """The number of the last complete load; 0 for none."""
+        at, fs = self._folder()
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return max((int(n[5:]) for n in names if n.startswith("done-")), default=0)
+
+    def complete(self, generation: int) -> None:
+        """Makes a load the present one; a load that was cut off before is ignored and written over."""
+        at, fs = self._folder()
+        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(at, f"done-{generation}"), True).close()
 
-    chain numbers the different texts under one key.  The directory has at most 2^max_depth entries, whatever the
-    input, which bounds what is counted on the driver and broadcast.
+    def directory(self, generation: int) -> list[tuple[int, int]]:
+        """Its buckets (prefix, depth)."""
+        rows = self.spark.read.parquet(f"{self.path}/{generation}/directory").groupBy("bucket").agg(F.min("slot").alias("slot"), F.max("depth").alias("depth"), F.max("bits").alias("bits")).collect()
+        return [(r["slot"] >> (r["bits"] - r["depth"]), r["depth"]) for r in rows]
+
+    def rows(self, generation: int) -> DataFrame:
+        """One row per document of the load and per older entry that it carried over; is_entry marks the entries, which hold the text."""
+        return self.spark.read.parquet(f"{self.path}/{generation}/rows")
+
+    def entries(self, generation: int | None = None) -> DataFrame:
+        """bucket, depth, key, chain, text, keep_id, group_size: one row per different text of all loads."""
+        generation = generation or self.generation()
+        if not generation:
+            return self.spark.createDataFrame([], _ENTRY)
+        return self.rows(generation).where("is_entry").select("bucket", "depth", "key", "chain", "text", "keep_id", "group_size")
+
+
+def _dealt(keyed: DataFrame, index: Index | None, capacity: int | None) -> tuple[DataFrame, list[tuple[int, int]], bool]:
+    """keyed (with column key) plus bucket, depth, hot and part, dealt by bucket and part; the buckets; whether any key is hot.
+
+    The keys are counted first, apart from the texts; the driver sees at most the counts of 2^18 slots and 65,536 hot
+    keys, whatever the input.
     """
-    spark = docs.sparkSession
-    norm = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    slots = norm.groupBy(_prefix(F.col("_key"), max_depth).alias("slot")).count()
-    buckets = split_directory({r["slot"]: r["count"] for r in slots.collect()}, max_depth, capacity)
-    directory = spark.createDataFrame([(s, number, depth) for number, (first, last, depth) in enumerate(buckets) for s in range(first, last + 1)], "slot long, bucket int, depth int")
-    rows = norm.withColumn("slot", _prefix(F.col("_key"), max_depth)).join(F.broadcast(directory), "slot")
-    entries = rows.groupBy("bucket", "depth", "_key", "_text").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = entries.select("bucket", "depth", F.col("_key").alias("key"), F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), F.octet_length("_text").cast("long").alias("n_bytes"), "keep_id", "group_size")
-    chained = entries.groupBy("bucket", "depth", "key").agg(F.sort_array(F.collect_list(F.struct("text_sha256", "n_bytes", "keep_id", "group_size"))).alias("c"))
-    chained = chained.select("bucket", "depth", "key", F.posexplode("c").alias("chain", "e")).select("bucket", "depth", "chain", "key", "e.*")
-    chained.write.parquet(path)
-    return spark.read.schema(chained.schema).parquet(path)
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_path: str | None = None, **options) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, key.
+    spark = keyed.sparkSession
+    keys = common.stored(keyed.groupBy("key").agg(F.count("*").alias("n")), "dedup-keys")
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys")).first()
+    capacity = capacity or max(CAPACITY, total["keys"] // BUCKETS)
+    old = index.directory(index.generation()) if index and index.generation() else [(0, 0)]
+    bits = max(max(d for _, d in old), (max(1, total["keys"] // capacity)).bit_length() + SPARE)
+    counts = {r["slot"]: r["n"] for r in keys.groupBy(_prefix(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n")).collect()}
+    buckets = split_directory(counts, bits, capacity, old)
+    depth, slots = directory_of(buckets)
+    directory = spark.createDataFrame(slots, "slot long, bucket int, depth int")
+    hot = max(HOT, total["rows"] // HOT_SHARE)
+    many = [(r["key"], -(-r["n"] // hot)) for r in keys.where(F.col("n") > hot).collect()]
+    common.dropped(keys)
+    parts = spark.createDataFrame(many, "key long, parts long")
+    rows = keyed.withColumn("slot", _prefix(F.col("key"), depth)).join(F.broadcast(directory), "slot").join(F.broadcast(parts), "key", "left")
+    # rows of a hot key are dealt in turn: nothing in them need be spread evenly
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    return rows.withColumn("hot", F.col("parts").isNotNull()).withColumn("part", part.cast("int")).drop("slot", "parts").repartition("bucket", "part"), buckets, bool(many)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_path: str | None = None, capacity: int | None = None, key: Column | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, depth, key, chain.
 
     Texts are equal when identical after lower-casing A-Z only; a null text counts as empty.  The row with the
     largest id of its group stays.  Ids are meant to be unique: where rows repeat both the id and the text, all of
     them carry kept = true, and `deduplicated` returns one of them.  A null id never wins over another; a group of
     null ids only has keep_id null and all of it kept.  Other columns are ignored, so their names cannot clash.
     An empty table gives an empty result.
-    """
-    path = index_path or f"{common.shared_dir(docs.sparkSession)}/dedup-index-{uuid.uuid4().hex}"
-    index = build_index(docs, path, id_col, text_col, **options)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256"))
-    joined = own.join(index.select("text_sha256", "keep_id", "group_size", "bucket", "key"), "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "key")
-
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    With an index_path that holds earlier loads, groups span all loads: group_size and keep_id count them too, and
+    rows are returned for this load's documents.  `key` replaces the 64-bit hash of column `text` (for tests).
+    """
+    spark = docs.sparkSession
+    index = Index(spark, index_path or f"{common.shared_dir(spark)}/dedup-index-{uuid.uuid4().hex}")
+    before = index.generation()
+    new = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text"), F.lit(1).cast("long").alias("weight"), F.lit(True).alias("is_new"))
+    every = new.unionByName(index.entries(before).select(F.col("keep_id").alias("id"), "text", F.col("group_size").alias("weight"), F.lit(False).alias("is_new"))) if before else new
+    rows, buckets, any_hot = _dealt(every.withColumn("key", F.xxhash64("text") if key is None else key), index, capacity)
+    # both windows and the numbering follow one sort by key and text within the owner's partition
+    range_ = Window.partitionBy("bucket", "part", "key").orderBy("text")
+    group = Window.partitionBy("bucket", "part", "key", "text")
+    rows = rows.withColumn("chain", F.dense_rank().over(range_) - 1).withColumn("keep_id", F.max("id").over(group)).withColumn("group_size", F.sum("weight").over(group))
+    rows = rows.withColumn("is_entry", F.row_number().over(group.orderBy("text")) == 1)
+    rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).withColumn("text", F.when(F.col("is_entry"), F.col("text")))
+    generation = before + 1
+    at = f"{index.path}/{generation}"
+    found = common.stored(rows.select("id", "is_new", "bucket", "depth", "hot", "part", "key", "chain", "is_entry", "text", "text_sha256", "keep_id", "group_size"), "dedup-parts")
+    out = ["id", "is_new", "bucket", "depth", "key", "chain", "is_entry", "text", "text_sha256", "keep_id", "group_size"]
+    (found.select(out) if not any_hot else found.where("not hot").select(out).unionByName(_joined_parts(found).select(out))).write.mode("overwrite").parquet(f"{at}/rows")
+    bits, slots = directory_of(buckets)
+    spark.createDataFrame([(s, b, d, bits) for s, b, d in slots], "slot long, bucket int, depth int, bits int").coalesce(1).write.mode("overwrite").parquet(f"{at}/directory")
+    common.dropped(found)
+    index.complete(generation)
+    done = index.rows(generation).where("is_new")
+    return done.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "depth", "key", "chain")
+
+
+def _joined_parts(found: DataFrame) -> DataFrame:
+    """The rows of hot keys with the chain, keep_id and group_size of all parts together."""
+    place = ["bucket", "key", "part", "chain"]
+    # the parts of a hot key: the first rows of each text meet, by their bytes
+    first = found.where("hot and is_entry").groupBy("bucket", "key", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.sort_array(F.collect_list(F.struct("part", "chain"))).alias("at"))
+    first = first.withColumn("whole", F.dense_rank().over(Window.partitionBy("bucket", "key").orderBy("text")) - 1)
+    joined = first.select("bucket", "key", "keep_id", "group_size", "whole", F.explode("at").alias("p"), F.element_at("at", 1).alias("head"))
+    joined = joined.select("bucket", "key", F.col("p.part").alias("part"), F.col("p.chain").alias("chain"), "keep_id", "group_size", "whole", (F.col("p") == F.col("head")).alias("is_head"))
+    hot = found.where("hot").drop("keep_id", "group_size").join(joined, place)
+    return hot.withColumn("is_entry", F.col("is_entry") & F.col("is_head")).withColumn("text", F.when(F.col("is_entry"), F.col("text"))).withColumn("chain", F.col("whole"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns; one of those that repeat id and text.
 
-    A row with a null id goes if its text also stands under an id; of a group of null ids only, one row stays.
+    A row with a null id goes if its text also stands under an id; of a group of null ids only, one row stays.  The
+    whole rows are dealt by bucket, and the owner of a bucket lets the first of each text through: what stays is the
+    index's entries, so nothing besides is written.
     """
-    path = options.pop("index_path", None) or f"{common.shared_dir(docs.sparkSession)}/dedup-index-{uuid.uuid4().hex}"
-    kept = exact_groups(docs, id_col, text_col, index_path=path, **options).where("kept and doc_id is not null")
-    keep = kept.groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg((F.count("*") > 1).alias("_many"))
-    tagged = docs.withColumn("_s0", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    # both branches read one shuffle of the documents; only rows that repeat an id are gathered again
-    stay = tagged.join(keep, (tagged[id_col] == keep["_k"]) & (tagged["_s0"] == keep["_s"]))
-    single = stay.where("not _many").select(tagged.columns)
-    several = stay.where("_many").select(tagged.columns).dropDuplicates([id_col, "_s0"])
-    # one row of each text first, so that a text with many null ids is no large key of the join
-    nameless = docs.sparkSession.read.parquet(path).where("keep_id is null").select(F.col("text_sha256").alias("_s"))
-    nulls = tagged.where(F.col(id_col).isNull()).dropDuplicates(["_s0"])
-    nulls = nulls.join(nameless, nulls["_s0"] == nameless["_s"], "left_semi")
-    return single.unionByName(several).unionByName(nulls).drop("_s0")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(normalised(F.col(text_col))).alias("key"))
+    rows, _, any_hot = _dealt(keyed, None, capacity)
+
+    def first(some: DataFrame, *by: str) -> DataFrame:
+        best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("id")))
+        return some.withColumn("n", best).where("n = 1")
+
+    rows = rows.withColumn("text", normalised(F.col(f"doc.`{text_col}`")))
+    own = ("bucket", "part", "key", "text")
+    if not any_hot:
+        return first(rows, *own).select("doc.*")
+    # a hot key leaves one row for each text and part, and these meet once more
+    return first(rows.where("not hot"), *own).select("doc.*").unionByName(first(first(rows.where("hot"), *own), "key", "text").select("doc.*"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callweave.llm import chain, crf_langid, exact_dedup, hmm_lm, mixing, ngram_join, queries, secrets, sentencepiece_codec, sharding
 from callweave.llm.common import connected_components
@@ -367,7 +368,7 @@ def test_round_trips(spark):
 # --- op 9 ---
 def test_exact_groups(spark):
     rows = odd_rows()
-    got = exact_dedup.exact_groups(frame(spark, rows), capacity=3, max_depth=6).collect()
+    got = exact_dedup.exact_groups(frame(spark, rows), capacity=3).collect()
     assert len(got) == len(rows)
     groups = defaultdict(list)
     for i, t, *_ in rows:
@@ -389,9 +390,61 @@ def test_rows_without_an_id_are_deduplicated(spark):
 def test_directory_splits_overfull_buckets():
     counts = {0: 5, 1: 5, 2: 1, 7: 100}
     got = exact_dedup.split_directory(counts, 3, 6)
-    assert sorted(s for a, b, _ in got for s in range(a, b + 1)) == list(range(8))
-    assert (0, 0, 3) in got and (1, 1, 3) in got and (2, 3, 2) in got and (7, 7, 3) in got and (4, 5, 2) in got
-    assert exact_dedup.split_directory({}, 3, 6) == [(0, 7, 0)]
+    assert got == [(0, 3), (1, 3), (1, 2), (2, 2), (6, 3), (7, 3)]
+    bits, slots = exact_dedup.directory_of(got)
+    assert bits == 3 and [s for s, _, _ in slots] == list(range(8)) and [b for _, b, _ in slots] == [0, 1, 2, 2, 3, 3, 4, 5]
+    assert exact_dedup.split_directory({}, 3, 6) == [(0, 0)] and exact_dedup.directory_of([(0, 0)]) == (0, [(0, 0, 0)])
+    # a later load splits on from what there is
+    assert exact_dedup.split_directory({0: 1, 4: 9, 5: 9}, 3, 10, [(0, 1), (1, 1)]) == [(0, 1), (4, 3), (5, 3), (3, 2)]
+
+
+def groups_by_hand(rows):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[lower(t)].append(i)
+    return {sha(t): (max((i for i in g if i is not None), default=None), len(g)) for t, g in groups.items()}
+
+
+@pytest.mark.parametrize("hot", [500, 3])
+def test_colliding_keys_are_told_apart_by_their_bytes(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    rows = odd_rows() + [(5000 + i, f"Copy {i % 4}", "en", "a", 1) for i in range(60)]
+    eight = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(8)), 61)
+    got = exact_dedup.exact_groups(frame(spark, rows), index_path=f"{tmp_path}/index", capacity=1, key=eight).collect()
+    want = groups_by_hand(rows)
+    assert len(got) == len(rows) and all((r["keep_id"], r["group_size"]) == want[r["text_sha256"]] for r in got)
+    assert len({r["key"] for r in got}) == 8 and {r["bucket"] for r in got} == set(range(8)) and {r["depth"] for r in got} == {3}
+    # a bucket is a range of keys, and a chain numbers the texts of a key
+    assert all(r["bucket"] == (r["key"] % (1 << 64)) >> 61 for r in got)
+    chains = defaultdict(set)
+    for r in got:
+        chains[r["key"]].add((r["chain"], r["text_sha256"]))
+    assert all(sorted(c for c, _ in x) == list(range(len(x))) for x in chains.values()) and max(map(len, chains.values())) > 3
+    entries = exact_dedup.Index(spark, f"{tmp_path}/index").entries().collect()
+    assert Counter(sha(r["text"]) for r in entries) == Counter(want.keys())
+    kept = exact_dedup.deduplicated(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], sha(lower(r["text"]))) for r in kept) == Counter((k, s) for s, (k, _) in want.items())
+
+
+@pytest.mark.parametrize("hot", [500, 3])
+def test_a_second_load_into_the_same_index(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    path = f"{tmp_path}/index"
+    a = [(i, f"text {i % 30}", "en", "a", 1) for i in range(60)]
+    b = [(100 + i, f"TEXT {20 + i % 90}", "en", "a", 1) for i in range(180)] + [(None, "text 1", "en", "a", 1)]
+    first = exact_dedup.exact_groups(frame(spark, a), index_path=path, capacity=4).collect()
+    index = exact_dedup.Index(spark, path)
+    before = index.directory(index.generation())
+    second = exact_dedup.exact_groups(frame(spark, b), index_path=path, capacity=4).collect()
+    after = index.directory(index.generation())
+    want = groups_by_hand(a + b)
+    assert {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in first} == groups_by_hand(a)
+    assert len(second) == len(b) and all((r["keep_id"], r["group_size"]) == want[r["text_sha256"]] for r in second)
+    entries = index.entries().collect()
+    assert {sha(r["text"]): (r["keep_id"], r["group_size"]) for r in entries} == want and len(entries) == len(want)
+    # overfull buckets were split, and doubling kept every range
+    assert max(d for _, d in after) > max(d for _, d in before) and len(after) > len(before)
+    assert all(any(p >> (d - d0) == p0 for p0, d0 in before if d0 <= d) for p, d in after)
 
 
 # --- op 10 ---
