@@ -27,6 +27,8 @@ HOT, HOT_SHARE = 500, 1 << 16
 #: Bits of the key beyond the even depth that the directory can tell apart.
 SPARE = 3
 
+_ROW = ("id", "is_new", "bucket", "depth", "key", "chain", "is_entry", "text", "text_sha256", "keep_id", "group_size")
+_PARTS = "bucket int, key long, part int, chain int, keep_id long, group_size long, whole int, is_head boolean"
 _ENTRY = "bucket int, depth int, key long, chain int, text string, keep_id long, group_size long"
 
 
@@ -93,7 +95,11 @@ class Index:
 
     def rows(self, generation: int) -> DataFrame:
         """One row per document of the load and per older entry that it carried over; is_entry marks the entries, which hold the text."""
-        return self.spark.read.parquet(f"{self.path}/{generation}/rows")
+        found, parts = self.spark.read.parquet(f"{self.path}/{generation}/rows"), self.spark.read.schema(_PARTS).parquet(f"{self.path}/{generation}/parts")
+        # few rows name the parts of hot keys; all other rows are whole as they are
+        hot = found.where("hot").drop("keep_id", "group_size").join(parts, ["bucket", "key", "part", "chain"])
+        hot = hot.withColumn("is_entry", F.col("is_entry") & F.col("is_head")).withColumn("chain", F.col("whole"))
+        return found.where("not hot").select(*_ROW).unionByName(hot.withColumn("text", F.when(F.col("is_entry"), F.col("text"))).select(*_ROW))
 
     def entries(self, generation: int | None = None) -> DataFrame:
         """bucket, depth, key, chain, text, keep_id, group_size: one row per different text of all loads."""
@@ -155,27 +161,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).withColumn("text", F.when(F.col("is_entry"), F.col("text")))
     generation = before + 1
     at = f"{index.path}/{generation}"
-    found = common.stored(rows.select("id", "is_new", "bucket", "depth", "hot", "part", "key", "chain", "is_entry", "text", "text_sha256", "keep_id", "group_size"), "dedup-parts")
-    out = ["id", "is_new", "bucket", "depth", "key", "chain", "is_entry", "text", "text_sha256", "keep_id", "group_size"]
-    (found.select(out) if not any_hot else found.where("not hot").select(out).unionByName(_joined_parts(found).select(out))).write.mode("overwrite").parquet(f"{at}/rows")
+    # small row groups: a task holds no more of its texts than this while it writes
+    rows.select(*_ROW, "hot", "part").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{at}/rows")
+    found = spark.read.parquet(f"{at}/rows")
+    (_joined_parts(found) if any_hot else spark.createDataFrame([], _PARTS)).write.mode("overwrite").parquet(f"{at}/parts")
     bits, slots = directory_of(buckets)
     spark.createDataFrame([(s, b, d, bits) for s, b, d in slots], "slot long, bucket int, depth int, bits int").coalesce(1).write.mode("overwrite").parquet(f"{at}/directory")
-    common.dropped(found)
     index.complete(generation)
     done = index.rows(generation).where("is_new")
     return done.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "depth", "key", "chain")
 
 
 def _joined_parts(found: DataFrame) -> DataFrame:
-    """The rows of hot keys with the chain, keep_id and group_size of all parts together."""
-    place = ["bucket", "key", "part", "chain"]
-    # the parts of a hot key: the first rows of each text meet, by their bytes
+    """For each part of a hot key and chain in it: the chain, keep_id and group_size of all parts together, and whether its entry stands for them.
+
+    The first rows of each text and part meet here, by their bytes.
+    """
     first = found.where("hot and is_entry").groupBy("bucket", "key", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.sort_array(F.collect_list(F.struct("part", "chain"))).alias("at"))
     first = first.withColumn("whole", F.dense_rank().over(Window.partitionBy("bucket", "key").orderBy("text")) - 1)
     joined = first.select("bucket", "key", "keep_id", "group_size", "whole", F.explode("at").alias("p"), F.element_at("at", 1).alias("head"))
-    joined = joined.select("bucket", "key", F.col("p.part").alias("part"), F.col("p.chain").alias("chain"), "keep_id", "group_size", "whole", (F.col("p") == F.col("head")).alias("is_head"))
-    hot = found.where("hot").drop("keep_id", "group_size").join(joined, place)
-    return hot.withColumn("is_entry", F.col("is_entry") & F.col("is_head")).withColumn("text", F.when(F.col("is_entry"), F.col("text"))).withColumn("chain", F.col("whole"))
+    return joined.select("bucket", "key", F.col("p.part").alias("part"), F.col("p.chain").alias("chain"), "keep_id", "group_size", "whole", (F.col("p") == F.col("head")).alias("is_head"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
