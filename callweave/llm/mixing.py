@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET, REPEAT = 1.5, 2
 #: (start, end) of the schedules by the source's rank modulo 3: falling, flat, rising.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 
 
 def n_words(text: Column) -> Column:
@@ -61,12 +61,12 @@ def position(share: Column, start: Column, end: Column) -> Column:
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, copies, position, position2.
+    """One row per input row: doc_id, source, size, source_size, target, taken, copies, positions, position, position2.
 
     copies is how many times the mix reads the whole document: the whole part of target / source_size, and once
     more for the documents that come first in the source's order until the target is reached (a document whose
     middle lies before that point counts), so a source's words miss its target by half a document at most.  The
-    positions (0 to 1) are those of the first and second copy, null where there is none.
+    positions (0 to 1) are those of all copies; position and position2 are the first two, null where there is none.
 
     Null texts and texts of white space have size 0; null sources are one source.  A source of size 0 has target 0
     and no copies.  Rows that repeat an id stand side by side in the order.  An empty table gives no rows.
@@ -92,18 +92,21 @@ def _planned(d: DataFrame, **options) -> DataFrame:
     x = x.withColumn("_whole", F.floor("_ratio"))
     extra = (F.col("_at") + F.col("size") / 2) < (F.col("target") - F.col("_whole") * F.col("source_size"))
     x = x.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + extra.cast("long")).otherwise(0).cast("int"))
-    at = lambda k: F.when(F.col("copies") > k, position(F.least(F.lit(1.0), (F.col("_at") + k * F.col("source_size")) / F.col("target")), F.col("start"), F.col("end")))
-    return x.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", at(0).alias("position"), at(1).alias("position2"))
+    at = lambda k: position(F.least(F.lit(1.0), (F.col("_at") + k * F.col("source_size")) / F.col("target")), F.col("start"), F.col("end"))
+    # a sequence from 0 to -1 would run backwards
+    x = x.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("copies") - 1)), at)).otherwise(F.array().cast("array<double>")))
+    nth = lambda k: F.try_element_at("positions", F.lit(k))
+    return x.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions", nth(1).alias("position"), nth(2).alias("position2"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns, range-sorted by position.
 
     The rows are stored with a number each, by which they find their plan: so rows with a null id, and rows that
-    repeat an id, are each taken as often as planned.
+    repeat an id, are each taken as often as planned.  A row travels as one value, so no column of it can clash.
     """
-    numbered = docs.select("*", F.monotonically_increasing_id().alias("_row"), n_words(F.col(text_col)).alias("_size"), F.xxhash64(text_col).alias("_tie"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), whole.alias("doc"))
     rows = common.stored(numbered, "mix-rows")
-    slim = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_tie").alias("tie"))
-    plan = _planned(slim, **options).where("copies > 0").select(F.col("row").alias("_k"), F.explode(F.slice(F.array("position", "position2"), F.lit(1), F.col("copies"))).alias("_p"))
-    return rows.join(plan, rows["_row"] == plan["_k"]).sort("_p", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = _planned(rows.drop("doc"), **options).where("copies > 0").select("row", F.explode("positions").alias("at"))
+    return rows.select("row", "doc_id", "doc").join(plan, "row").sort("at", "doc_id").select("doc.*")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from callweave.llm.mixing import WEIGHTS
-from callweave.llm.secrets import RULES
-
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9 = f"""
@@ -64,9 +61,16 @@ def _kind(no: int, name: str, pattern: str, group: int, least: int) -> str:
   WHERE length(part) >= {least}"""
 
 
+#: The contract's own words, apart from the operator's: kind, pattern, group whose length counts, least length.
+_RULES = (
+    (0, "assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 16),
+    (2, "hex", "[0-9a-f]+", 0, 32),
+)
+
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({' UNION ALL '.join(_kind(k, name, *rule) for k, (name, rule) in enumerate(RULES.items()))}),
+spans AS ({' UNION ALL '.join(_kind(*rule) for rule in _RULES)}),
 s AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
   string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind_no) AS spans FROM spans GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
@@ -74,21 +78,29 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN s USING (doc_id)
 """
 
+def _time(area: str) -> str:
+    root = f"(sqrt(greatest(0.0::DOUBLE, g0 * g0 + (g1 - g0) * {area} * 2)) - g0) / (g1 - g0)"
+    return f"CASE WHEN g0 = g1 THEN {area} / g0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {root})) END"
+
+
 OP10 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM s),
-w AS (SELECT *, [{', '.join(f'{float(x)}::DOUBLE' for x in WEIGHTS)}][(r % {len(WEIGHTS)}) + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM r),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(r % 3) + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM r),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, (SELECT level FROM l WHERE cap > level * w ORDER BY cap / w, r LIMIT 1) AS final FROM l),
-t AS (SELECT source, source_size, least(cap, coalesce(final * w, cap)) AS target FROM f),
-x AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, least(cap, coalesce(final * w, cap)) AS target, [1.5::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE][(r % 3) + 1] AS g0, [0.5::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE][(r % 3) + 1] AS g1 FROM f),
+x AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.g0, t.g1,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS pos,
   CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN pos + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END ELSE 0 END::INT AS copies FROM x)
-SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
+c AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN pos + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END ELSE 0 END::INT AS copies FROM x),
+-- the schedule runs from g0 to g1: the time t at which g0 t + (g1 - g0) t t / 2 is the share read, of its mean at t = 1
+y AS (SELECT *, least(1.0::DOUBLE, pos / target) * (g0 + g1) / 2 AS a1, least(1.0::DOUBLE, (pos + source_size) / target) * (g0 + g1) / 2 AS a2 FROM c)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
+  CASE WHEN copies > 0 THEN {_time('a1')} END AS position, CASE WHEN copies > 1 THEN {_time('a2')} END AS position2 FROM y
 """
 
 
