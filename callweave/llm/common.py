@@ -30,6 +30,14 @@ def fold(c: Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir.  A local session without one (tests) gets a temporary folder; a cluster is refused."""
     sc = spark.sparkContext

@@ -6,8 +6,9 @@ words, else the mark of an unknown word.  Labels are the languages of the traini
 with the rest.  Training chains are spliced from runs of several documents, so that the learned transitions allow
 text to switch.  Labelling is exact forward-backward over the whole text.
 
-The model is fitted on the driver to a bounded sample of labelled rows (`SAMPLE` documents, `RUNS` runs of `RUN`
-words from each, spread over the whole text).  Everything else covers all words of all rows.
+The model is fitted on the driver to a bounded sample of labelled rows: `sample` documents (4,096), and of each of them
+`runs` (8) runs of `run` (16) words, spread over the whole text.  The sample is a function of the rows, not of how they
+are partitioned.  Everything else covers all words of all rows.
 """
 
 from __future__ import annotations
@@ -196,39 +197,41 @@ def fit(runs: list[tuple[str, str]], seed: int = 3, epochs: int = 3, rate: float
     return crf
 
 
-def _cut_runs(batches):
-    for batch in batches:
-        lang, out = [], []
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = re.findall(r"[^\W\d_]+", (text or "").lower())
-            step = max(RUN, -(-len(words) // RUNS))
-            for at in range(0, len(words), step):
-                lang.append(label)
-                out.append(" ".join(words[at : at + RUN]))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.string())], names=["lang", "run"])
+def _cut_runs(runs: int, run: int):
+    def cut(batches):
+        for batch in batches:
+            lang, out = [], []
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = re.findall(r"[^\W\d_]+", (text or "").lower())
+                step = max(run, -(-len(words) // runs))
+                for at in range(0, len(words), step):
+                    lang.append(label)
+                    out.append(" ".join(words[at : at + run]))
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.string())], names=["lang", "run"])
+
+    return cut
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Crf | None:
-    """Fits a model to about `sample` of the labelled rows, taken by a hash of text and place; None without labels.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, runs: int = RUNS, run: int = RUN) -> Crf | None:
+    """Fits a model to at most `sample` of the labelled rows, taken by a hash of id and text; None without labels.
 
     Every label with a letter in a text has a row in the sample and about FLOOR of them, or an even share of half the
     sample if there are many labels; the rest is in proportion.  Of more than `sample` labels the commonest are learnt.
     """
     bits = 1 << 30
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.regexp_like(text_col, F.lit(r"\p{L}"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    labelled = labelled.withColumn("at", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(bits)))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.regexp_like(text_col, F.lit(r"\p{L}"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    labelled = labelled.withColumn("at", F.pmod(F.xxhash64("id", "text"), F.lit(bits)))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     rows = sum(r["n"] for r in counts)
     if rows > sample:
         least = min(FLOOR, max(1, sample // (2 * len(counts))))
         share = 0.9 * max(0, sample - least * len(counts)) / rows
-        cuts = [(r["lang"], max(r["first"], int(bits * min(1.0, max(share, least / r["n"]))))) for r in counts]
-        labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long")), "lang").where("at <= cut").select("lang", "text")
-    else:
-        labelled = labelled.select("lang", "text")
-    runs = labelled.mapInArrow(_cut_runs, "lang string, run string").limit(sample * RUNS).collect()
-    runs = sorted((r["lang"], r["run"]) for r in runs)
-    return fit(runs) if runs else None
+        cuts = [(r["lang"], r["first"], max(r["first"], int(bits * min(1.0, max(share, least / r["n"]))))) for r in counts]
+        labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, first long, cut long")), "lang").where("at <= cut")
+        # the first of each label, then the rest; rows that repeat id and text share their hash, and the bound holds for them too
+        labelled = labelled.orderBy(F.col("at") > F.col("first"), "at", "id", "lang").limit(sample)
+    got = labelled.select("lang", "text").mapInArrow(_cut_runs(runs, run), "lang string, run string").collect()
+    return fit(sorted((r["lang"], r["run"]) for r in got)) if got else None
 
 
 def _labelled(model, folds_col: bool):
@@ -285,7 +288,7 @@ def label_words(crf: Crf, text: str) -> list[tuple[int, int, str, float]]:
     return [(int(a) - 1, int(b) - 1, crf.labels[c], float(q[c])) for a, b, q, c in zip(start, end, p, p.argmax(1))]
 
 
-def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
+def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE, runs: int = RUNS, run: int = RUN) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, n_words, n_switches.
 
     Learns from the rows with a text and a label whose crc32(id as text) modulo `folds` is not 0 (a null id counts as
@@ -294,16 +297,20 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n_switches counts neighbouring words with different labels.  Equal texts get equal results.
     """
     held = F.coalesce(common.fold(F.col(id_col), folds) == 0, F.lit(True))
-    crf = train(docs.where(~held).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "text", "lang", sample)
+    crf = train(docs.where(~held), id_col, text_col, lang_col, sample, runs, run)
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_labelled(sent, True), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
 
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame | None:
-    """docs with one more column, _lang_pred; the other columns pass through unchanged.  None without anything to learn from."""
+def with_language(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample: int = SAMPLE, runs: int = RUNS, run: int = RUN) -> DataFrame | None:
+    """docs with the predicted language as one more column `out`; the other columns, whatever their names, pass through.
+
+    As in predict_languages a null text, or one without a letter, is `und`; rows with a null id are predicted like
+    others and learnt from by none.  Repeated rows get equal labels.  None without anything to learn from.
+    """
     held = F.coalesce(common.fold(F.col(id_col), folds) == 0, F.lit(True))
-    crf = train(docs.where(~held).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "text", "lang", sample)
+    crf = train(docs.where(~held), id_col, text_col, lang_col, sample, runs, run)
     if crf is None:
         return None
     sent = docs.sparkSession.sparkContext.broadcast(crf)
@@ -315,4 +322,4 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         batch = pa.RecordBatch.from_arrays([pa.array(text.where(text.notna(), None), pa.string())], names=["text"])
         return pd.concat([b.column("lang_pred").to_pandas() for b in _labelled(sent, False)([batch])], ignore_index=True) if len(text) else pd.Series([], dtype=str)
 
-    return docs.withColumn("_lang_pred", label(F.col(text_col)))
+    return docs.withColumn(out, label(F.col(text_col)))

@@ -141,8 +141,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, dict[str, tup
     rows = sum(r["n"] for r in by_suffix)
     bits = 1 << 30
     if rows > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(bits)) < int(bits * 0.95 * sample / rows))
-    got = sorted(((r["url"], r["host"], r["path"], r["verdict"]) for r in labelled.select("url", "host", "path", "verdict").limit(sample).collect()), key=str)
+        # by the hash of the URL alone: copies of a URL have the same features, and one of them is enough
+        labelled = labelled.dropDuplicates(["url"]).withColumn("at", F.pmod(F.xxhash64("url"), F.lit(bits)))
+        labelled = labelled.where(F.col("at") < int(bits * min(1.0, 0.95 * sample / labelled.count()))).orderBy("at", "url").limit(sample)
+    got = sorted(((r["url"], r["host"], r["path"], r["verdict"]) for r in labelled.select("url", "host", "path", "verdict").collect()), key=str)
     x = np.array([lexical(u, h, p, stats) for u, h, p, _ in got], dtype=float).reshape(len(got), len(NAMES))
     return boost(x, np.array([v == "block" for *_, v in got], dtype=float)), stats
 

@@ -28,7 +28,7 @@ def frame(spark, rows=None, clash=True):
     """The rows, with columns whose names operators might use themselves."""
     df = spark.createDataFrame(odd_rows() if rows is None else rows, SCHEMA)
     if clash:
-        for c in ("id", "key", "n", "class", "shard", "_key", "_text", "rank", "word", "value"):
+        for c in ("id", "key", "n", "class", "shard", "_key", "_text", "rank", "word", "value", "row", "doc", "at", "other", "lang_pred", "_lang_pred", "_p", "_k", "_s", "_s0", "_many", "_row", "part", "hot", "size"):
             df = df.selectExpr("*", f"'x' as `{c}`")
     return df
 

@@ -167,6 +167,55 @@ def test_scores(spark):
     assert {r["score"] for r in got if r["doc_id"] in (4, 5, 6)} == {next(r["score"] for r in got if r["doc_id"] == 4)}
 
 
+def enumerated(model, chain):
+    """(expected first, move and emit counts, likelihood) of one chain, over all state paths."""
+    first, move, emit = np.zeros_like(model.first), np.zeros_like(model.move), np.zeros_like(model.emit)
+    whole = 0.0
+    for path in itertools.product(range(len(first)), repeat=len(chain)):
+        p = model.first[path[0]]
+        for t, (s, c) in enumerate(zip(path, chain)):
+            p *= model.emit[c, s] * (model.move[path[t - 1], s] if t else 1)
+        whole += p
+        first[path[0]] += p
+        for a, b in itertools.pairwise(path):
+            move[a, b] += p
+        for s, c in zip(path, chain):
+            emit[c, s] += p
+    return first / whole, move / whole, emit / whole, whole
+
+
+def test_expected_counts_by_enumeration():
+    rng = np.random.default_rng(8)
+    model, chains = hmm_lm.initial(5, 3), [rng.integers(0, 5, k).astype(np.uint16) for k in (4, 1, 6, 4)]
+    flat, log = hmm_lm.expected_counts(model, np.concatenate(chains), np.array([len(c) for c in chains]))
+    parts = [enumerated(model, c) for c in chains]
+    want = np.concatenate([np.ravel(sum(p[k] for p in parts)) for k in range(3)])
+    assert np.allclose(flat, want, atol=1e-5) and math.isclose(log, sum(math.log(p[3]) for p in parts), rel_tol=1e-5)
+
+
+def test_scores_by_enumeration(spark):
+    """The whole operator: counts, classes, two rounds of training over all state paths, and the scores."""
+    rows = [(i, text, "en", "s", 1) for i, text in enumerate(["a b a", "b a", "c a b", "a a b c", "b", "c c a", "a b", "d a", "b c", "a d b", "zz a", "b yy b", "c"])]
+    got = {r["doc_id"]: r for r in hmm_lm.score(frame(spark, rows), states=2, rounds=2).collect()}
+    chains = {i: [*t.split(" "), None] for i, t, *_ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in chains}
+    assert any(held.values())
+    code = lambda w: hmm_lm.END if w is None else int(hmm_lm._tokens(w)[0][0])
+    # every training word makes up 1/2048 of the tokens: a class of its own, in the order of the hashes
+    known = sorted({w for i, c in chains.items() if not held[i] for w in c}, key=code)
+    own = {w: k for k, w in enumerate(known)}
+    shared = lambda w: len(own) + min(len(w.encode()), 16) * 16 - 16 + (w.encode()[-1] & 15)
+    classes = {i: [own[w] if w in own else shared(w) for w in c] for i, c in chains.items()}
+    model = hmm_lm.initial(len(own) + hmm_lm.SHARED, 2)
+    for _ in range(2):
+        parts = [enumerated(model, classes[i]) for i in chains if not held[i]]
+        first, move, emit = (sum(p[k] for p in parts) + extra for k, extra in enumerate((0.1, 0.1, 0.01)))
+        model = hmm_lm.Model(first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    for i in chains:
+        # an unseen word is the only one of its shared class: its share of the class is 0.1 / 0.1
+        assert math.isclose(got[i]["score"], math.log10(enumerated(model, classes[i])[3]), rel_tol=1e-4), i
+
+
 def test_every_round_sees_all_training_chains(spark):
     rng = np.random.default_rng(3)
     chains = [rng.integers(0, 8, 12).astype(np.uint16) for _ in range(40)] + [np.arange(8, dtype=np.uint16)] * 20
@@ -250,6 +299,29 @@ def test_a_rare_language_is_learnt(spark):
         assert set(crf.labels) == {"en", "de", "es", "xx"}
 
 
+def test_languages_do_not_depend_on_partitions(spark):
+    df = frame(spark, language_rows(600))
+    one, many = (crf_langid.predict_languages(d, sample=60).orderBy("doc_id").collect() for d in (df.coalesce(1), df.repartition(7, "text")))
+    assert one == many
+
+
+def test_posteriors_by_enumeration(spark):
+    crf = crf_langid.train(spark.createDataFrame([r[:3] for r in language_rows()], "doc_id long, text string, lang string"))
+    texts = ["thou sch ue", "wher", "eitz ing ñll ou"]
+    code, start, end, n = crf_langid._encoded(texts)
+    f = crf_langid.features(code, start, end)
+    got, score, at = crf_langid.posteriors(crf, f, n), crf.unary(f).astype(float), 0
+    for k in n:
+        weight = defaultdict(float)
+        paths = {p: math.exp(crf.start[p[0]] + sum(score[at + t, s] for t, s in enumerate(p)) + sum(crf.move[a, b] for a, b in itertools.pairwise(p))) for p in itertools.product(range(3), repeat=int(k))}
+        for p, w in paths.items():
+            for t, s in enumerate(p):
+                weight[t, s] += w
+        whole = sum(paths.values())
+        assert all(math.isclose(got[at + t, s], weight[t, s] / whole, abs_tol=1e-6) for t in range(k) for s in range(3))
+        at += k
+
+
 def test_code_switching_inside_a_text(spark):
     crf = crf_langid.train(spark.createDataFrame([r[:3] for r in language_rows()], "doc_id long, text string, lang string"))
     said = crf_langid.label_words(crf, "Thering whouer thou, schung tzei schei ücktz! ciónue ñll rrue")
@@ -504,6 +576,16 @@ def test_the_mix_takes_rows_without_an_id_as_planned(spark):
     assert Counter((r["doc_id"], r["source"], len(r["text"].split(" "))) for r in out) == +want
 
 
+def test_more_than_two_copies(spark):
+    rows = [(i, prose(i, 20), "en", "small" if i < 5 else "big", 1) for i in range(60)]
+    plan = mixing.mixture(frame(spark, rows), budget=1.2, repeat=5, weights=(1, 1)).collect()
+    by = {r["doc_id"]: r for r in plan}
+    assert {r["copies"] for r in plan if r["source"] == "small"} == {5}
+    assert all(len(r["positions"]) == r["copies"] and r["positions"] == sorted(r["positions"]) and r["position"] == (r["positions"] or [None])[0] for r in plan)
+    out = mixing.mixed_documents(frame(spark, rows), budget=1.2, repeat=5, weights=(1, 1)).collect()
+    assert Counter(r["doc_id"] for r in out) == +Counter({i: r["copies"] for i, r in by.items()})
+
+
 def test_positions_invert_the_schedule(spark):
     rows = [(start, end, t, (start * t + (end - start) * t * t / 2) / ((start + end) / 2)) for start, end in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)) for t in (0.0, 0.25, 0.5, 1.0)]
     df = spark.createDataFrame(rows, "start double, end double, t double, share double")
