@@ -10,8 +10,10 @@ smallest share whose recall reaches `recall` is taken.  The sample is thinner th
 table are nearer and its recall is higher.  Without structure in the vectors (high-dimensional noise) this share is
 large, and says so.
 
-Queries with near cells form blocks of about 512; a row goes only to the blocks that visit its cell, and the rows of a
-block are dealt into parts of about 4,096.  A part returns five rows per query.
+Cells in order, some thousand rows together, make parts, and queries with near cells make blocks of as many; a cell
+with more rows than a part is dealt over several.  A part meets only the blocks that visit a cell of it, and a query is
+sent only to the parts it visits, with the distance at which its traversal stopped in place of the list of its cells.
+So a tile of one part and one block is bounded, moves its rows and queries once, and returns five rows per query.
 """
 
 from __future__ import annotations
@@ -27,7 +29,12 @@ from callweave.llm import common
 
 SAMPLE, PROBES = 16_384, 128
 SHARES = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-QUERIES_PER_BLOCK, ROWS_PER_PART = 512, 4_096
+#: Rows of a part and queries of a block: TILES-th of the table, between these bounds.
+TILE, TILES = (1_024, 16_384), 64
+#: Centroids of a half, at most; with the square root of the rows in between.
+CENTROIDS = 256
+#: Slack of the distance at which a traversal stops, for sums that are rounded in another order.
+SLACK = 1e-9
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -54,13 +61,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def visit(u: np.ndarray, v: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-    """Cells by rising u[i] + v[j] until they hold `enough` rows (multi-sequence traversal)."""
+def visit(u: np.ndarray, v: np.ndarray, counts: np.ndarray, enough: int) -> tuple[list[int], float]:
+    """Cells by rising u[i] + v[j] until they hold `enough` rows (multi-sequence traversal), and the last one's sum."""
     iu, iv = np.argsort(u, kind="stable"), np.argsort(v, kind="stable")
     su, sv, k = u[iu].tolist(), v[iv].tolist(), len(v)
-    heap, out, held = [(su[0] + sv[0], 0, 0)], [], 0
+    heap, out, held, last = [(su[0] + sv[0], 0, 0)], [], 0, 0.0
     while heap and held < enough:
-        _, a, b = heapq.heappop(heap)
+        last, a, b = heapq.heappop(heap)
         cell = int(iu[a]) * k + int(iv[b])
         if counts[cell]:
             out.append(cell)
@@ -69,14 +76,16 @@ def visit(u: np.ndarray, v: np.ndarray, counts: np.ndarray, enough: int) -> list
             heapq.heappush(heap, (su[a] + sv[b + 1], a, b + 1))
         if b == 0 and a + 1 < len(u):
             heapq.heappush(heap, (su[a + 1] + sv[0], a + 1, 0))
-    return out
+    return out, last
 
 
 class Codebooks:
-    def __init__(self, sample: np.ndarray, k: int | None = None, recall: float = 0.96, top: int = 5):
+    def __init__(self, sample: np.ndarray, k: int | None = None, recall: float = 0.96, top: int = 5, rows: int | None = None):
+        """`rows` are those of the whole table: with the number of cells near a quarter of them, cells stay small."""
         x = unit(sample)
         self.half = x.shape[1] // 2
-        k = k or int(min(64, max(1, len(np.unique(x, axis=0)) ** 0.5 / 2)))
+        different = len(np.unique(x, axis=0))
+        k = k or int(min(CENTROIDS, max(1, (rows or different) ** 0.5 / 2, 1), max(1, different / 16)))
         self.k = max(1, min(k, len(x)))
         self.a, self.b = k_means(x[:, : self.half], self.k), k_means(x[:, self.half :], self.k, seed=2)
         self.share = self._measure(x, recall, top)
@@ -101,7 +110,7 @@ class Codebooks:
         u, v = self.sums(x[q])
         need = np.empty((len(q), top))
         for n in range(len(q)):
-            order = visit(u[n], v[n], counts, len(x))
+            order, _ = visit(u[n], v[n], counts, len(x))
             held = np.zeros(self.k**2)
             held[order] = np.cumsum(counts[order]) - counts[order] + 1
             need[n] = held[cell[best[n]]] / len(x)
@@ -122,53 +131,78 @@ def _indexed(sent, dim: int):
     return run
 
 
-def _visits(sent, counts: np.ndarray, enough: int, dim: int):
+def parts_of_cells(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, number of parts) of every cell: cells in order fill parts of `size` rows, a larger cell has several of its own."""
+    first, wide = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64)
+    part = held = 0
+    for cell, n in enumerate(counts.tolist()):
+        if n > size:
+            part += held > 0
+            first[cell], wide[cell], held = part, -(-n // size), 0
+            part += int(wide[cell])
+            continue
+        if held and held + n > size:
+            part, held = part + 1, 0
+        first[cell] = part
+        held += n
+    return first, wide
+
+
+def _visits(sent, counts: np.ndarray, enough: int, dim: int, first: np.ndarray, wide: np.ndarray):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             u, v = sent.value.sums(_matrix(batch.column(1), dim))
-            lists = [visit(a, b, counts, enough) for a, b in zip(u, v)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "vec", "block", "cells"])
+            parts, limits = [], []
+            for a, b in zip(u, v):
+                cells, last = visit(a, b, counts, enough)
+                parts.append(np.unique(np.concatenate([first[cells], *(np.arange(first[c], first[c] + wide[c]) for c in cells if wide[c] > 1)])))
+                limits.append(last + SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(limits, pa.float64()), pa.array(parts, pa.list_(pa.int64()))], names=["vec_id", "vec", "block", "limit", "parts"])
 
     return run
 
 
-def _ranked(dim: int, cells: int, top: int):
+def _ranked(sent, dim: int, top: int):
     def run(batches):
-        for table, cuts in common.runs(batches, ["block", "part"]):
-            ids, kind, cell = (table.column(c).to_numpy() for c in ("vec_id", "kind", "cell"))
-            raw, lists = table.column("vec"), table.column("cells")
-            out = []
+        for table, cuts in common.runs(batches, ["part", "block"]):
+            ids, kind, cell, limit = (table.column(c).to_numpy() for c in ("vec_id", "kind", "cell", "limit"))
+            raw, out = table.column("vec"), []
             for lo, hi in zip(cuts, cuts[1:]):
                 nq = int(np.count_nonzero(kind[lo:hi] == 0))
                 if nq == 0 or lo + nq == hi:
                     continue
                 x = _matrix(raw.slice(lo, hi - lo), dim)
-                q, r = x[:nq], x[nq:]
-                qid, rid, rcell = ids[lo : lo + nq], ids[lo + nq : hi], cell[lo + nq : hi]
-                qn, rn = np.sqrt((q * q).sum(1)), np.sqrt((r * r).sum(1))
-                near = (q / qn[:, None]) @ (r / rn[:, None]).T
-                own = lists.slice(lo, nq).to_pylist()
-                for n in range(nq):
-                    seen = np.zeros(cells, dtype=bool)
-                    seen[own[n]] = True
-                    at = np.flatnonzero(seen[rcell] & (rid != qid[n]))
-                    if not len(at):
-                        continue
-                    s = near[n, at]
-                    if len(at) > top:
-                        # all that may be among the best, ties included; then exactly
-                        at = at[s >= np.partition(s, len(s) - top)[len(s) - top] - 1e-9]
-                    exact = (r[at] * q[n]).sum(1) / (rn[at] * qn[n])
-                    best = np.lexsort((rid[at], -exact))[:top]
-                    out.append((np.full(len(best), qid[n]), rid[at][best], exact[best]))
+                r, rid = x[nq:], ids[lo + nq : hi]
+                ra, rb = np.divmod(cell[lo + nq : hi], sent.value.k)
+                rn = np.sqrt((r * r).sum(1))
+                rows = r / rn[:, None]
+                # some queries at a time, so that their scores stay near 32 MB
+                some = max(1, (1 << 22) // len(r))
+                for at in range(0, nq, some):
+                    q, qid, far = x[at : min(nq, at + some)], ids[lo + at : lo + min(nq, at + some)], limit[lo + at : lo + min(nq, at + some)]
+                    qn = np.sqrt((q * q).sum(1))
+                    near = (q / qn[:, None]) @ rows.T
+                    u, v = sent.value.sums(q)
+                    near[(u[:, ra] + v[:, rb] > far[:, None]) | (qid[:, None] == rid[None, :])] = -np.inf
+                    out += [_best(near[n], r, rn, rid, q[n], qn[n], int(qid[n]), top) for n in range(len(q))]
+            out = [o for o in out if len(o[0])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _best(near: np.ndarray, r: np.ndarray, rn: np.ndarray, rid: np.ndarray, q: np.ndarray, qn: float, qid: int, top: int):
+    """The best rows of one query: all that may be among them by the matrix product, ties included, are scored exactly."""
+    cut = np.partition(near, len(near) - top)[len(near) - top] if len(near) > top else -np.inf
+    at = np.flatnonzero((near >= cut - 1e-9) & (near > -np.inf))
+    exact = (r[at] * q).sum(1) / (rn[at] * qn)
+    best = np.lexsort((rid[at], -exact))[:top]
+    return np.full(len(best), qid), rid[at][best], exact[best]
+
+
 def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, sample: int = SAMPLE, recall: float = 0.96, k: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row whose id is divisible by `every`.
 
@@ -207,7 +241,7 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     bits = 1 << 30
     part = rows if total <= sample else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(bits)) < int(bits * 0.95 * sample / total))
     got = sorted(bytes(r["vec"]) for r in part.select("vec").limit(sample).collect())
-    books = Codebooks(np.frombuffer(b"".join(got), dtype=np.float64).reshape(-1, dim), k, recall, top)
+    books = Codebooks(np.frombuffer(b"".join(got), dtype=np.float64).reshape(-1, dim), k, recall, top, total)
     sent = spark.sparkContext.broadcast(books)
     index = common.stored(rows.mapInArrow(_indexed(sent, dim), "vec_id long, vec binary, cell int"), "multi-index")
 
@@ -218,17 +252,19 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     for r in held:
         counts[r["cell"]], asked[r["cell"]] = r["n"], r["q"]
     enough = int(min(total, max(np.ceil(books.share * total), 4 * top)) + 1)
-    # blocks of queries by cell; a cell with more queries than a block is dealt over several
-    first = ((np.cumsum(asked) - asked) // QUERIES_PER_BLOCK).tolist()
-    wide = np.maximum(1, -(-asked // QUERIES_PER_BLOCK)).tolist()
-    plan = spark.createDataFrame([(c, first[c], wide[c]) for c in range(len(first)) if asked[c]] or [(0, 0, 1)], "cell int, _first long, _wide long")
-    queries = index.where(is_query).dropDuplicates(["vec_id"]).join(F.broadcast(plan), "cell").select("vec_id", "vec", (F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_wide"))).cast("int").alias("block"))
-    queries = common.stored(queries.mapInArrow(_visits(sent, counts, enough, dim), "vec_id long, vec binary, block int, cells array<int>"), "visits")
-    parts = max(1, -(-total // ROWS_PER_PART))
-    probes = queries.select("block", F.explode("cells").alias("cell")).distinct()
-    entries = index.join(probes, "cell").select("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "vec_id", "vec", "cell", F.lit(None).cast("array<int>").alias("cells"))
-    asks = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "vec_id", "vec", F.lit(-1).alias("cell"), "cells")
-    dealt = asks.union(entries).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
-    found = dealt.mapInArrow(_ranked(dim, books.k**2, top), "query_id long, vec_id long, score double")
+    tile = int(min(TILE[1], max(TILE[0], total // TILES)))
+    first, wide = parts_of_cells(counts, tile)
+    block, blocks = parts_of_cells(asked, tile)
+    plan = spark.createDataFrame([(c, int(first[c]), int(wide[c]), int(block[c]), int(blocks[c])) for c in np.flatnonzero(counts).tolist()], "cell int, _part long, _wide long, _block long, _blocks long")
+    dealt_over = lambda a, n: F.col(a) + F.pmod(F.xxhash64("vec_id"), F.col(n))
+    placed = index.join(F.broadcast(plan), "cell")  # a row per cell: at most CENTROIDS squared
+    queries = placed.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "vec", dealt_over("_block", "_blocks").alias("block"))
+    queries = common.stored(queries.mapInArrow(_visits(sent, counts, enough, dim, first, wide), "vec_id long, vec binary, block long, limit double, parts array<long>"), "visits")
+    asks = queries.select(F.explode("parts").alias("part"), "block", F.lit(0).alias("kind"), "vec_id", "vec", F.lit(-1).alias("cell"), "limit")
+    # a part goes to each block that visits it: the pairs are as many as tiles
+    pairs = asks.select("part", "block").distinct().groupBy("part").agg(F.collect_list("block").alias("blocks"))
+    entries = placed.withColumn("part", dealt_over("_part", "_wide")).join(pairs, "part").select("part", F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "vec_id", "vec", "cell", F.lit(0.0).alias("limit"))
+    dealt = asks.union(entries).repartition("part", "block").sortWithinPartitions("part", "block", "kind")
+    found = dealt.mapInArrow(_ranked(sent, dim, top), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -70,10 +70,34 @@ def test_extreme_and_single_component_vectors_take_part(spark):
 def test_cells_are_visited_by_rising_distance():
     u, v = np.array([0.3, 0.1, 0.9]), np.array([0.5, 0.2])
     counts = np.array([1, 1, 1, 1, 0, 1])
-    order = multi_index.visit(u, v, counts, 99)
+    order, last = multi_index.visit(u, v, counts, 99)
     sums = {a * 2 + b: u[a] + v[b] for a in range(3) for b in range(2)}
     assert order == [c for c in sorted(sums, key=sums.get) if counts[c]]
-    assert multi_index.visit(u, v, counts, 2) == order[:2]
+    assert math.isclose(last, max(sums.values()))
+    some, last = multi_index.visit(u, v, counts, 2)
+    assert some == order[:2] and math.isclose(last, sums[order[1]])
+
+
+def test_parts_hold_whole_cells_or_one_large_one():
+    counts = np.array([3, 0, 4, 25, 2, 9, 1, 0])
+    first, wide = multi_index.parts_of_cells(counts, 10)
+    assert wide.tolist() == [1, 1, 1, 3, 1, 1, 1, 1] and first[[0, 2, 3, 4, 5, 6]].tolist() == [0, 0, 1, 4, 5, 5]
+
+
+def test_tiles_give_what_brute_force_gives(spark, monkeypatch):
+    """With a share of 1 every cell is visited: many small parts and blocks must lose nothing."""
+    monkeypatch.setattr(multi_index, "TILE", (8, 8))
+    monkeypatch.setattr(multi_index, "SHARES", (1.0,))
+    rows = vector_rows(300)
+    got = {}
+    for r in multi_index.neighbours(spark.createDataFrame(rows, VECTORS), every=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = nearest_by_hand(rows, every=3)
+    exact = {q: {i: s for s, i in nearest_by_hand(rows, every=3, top=400)[q]} for q in list(want)[:20]}
+    assert set(got) == set(want)
+    for q in exact:
+        # ties in the last bits may swap places
+        assert np.allclose([exact[q][i] for _, i in sorted(got[q])], [s for s, _ in want[q]], atol=1e-12)
 
 
 # --- URLs ---
