@@ -259,6 +259,8 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     dealt_over = lambda a, n: F.col(a) + F.pmod(F.xxhash64("vec_id"), F.col(n))
     placed = index.join(F.broadcast(plan), "cell")  # a row per cell: at most CENTROIDS squared
     queries = placed.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "vec", dealt_over("_block", "_blocks").alias("block"))
+    # traversals cost far more than their few bytes tell: a task takes about a hundred
+    queries = queries.repartition(max(1, min(10_000, -(-int(asked.sum()) // 128))), "vec_id")
     queries = common.stored(queries.mapInArrow(_visits(sent, counts, enough, dim, first, wide), "vec_id long, vec binary, block long, limit double, parts array<long>"), "visits")
     asks = queries.select(F.explode("parts").alias("part"), "block", F.lit(0).alias("kind"), "vec_id", "vec", F.lit(-1).alias("cell"), "limit")
     # a part goes to each block that visits it: the pairs are as many as tiles
