@@ -114,6 +114,24 @@ def in_blocks(df: DataFrame, key: str, blocks: Column, member: Column) -> DataFr
     return df.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_nb", "_o")
 
 
+#: Rows of one key that a join gives one task, and the least share of all rows (so at most 65,536 keys are dealt over more).
+ROWS_A_TASK, TASK_SHARE = 500, 1 << 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], member: str, total: int) -> DataFrame:
+    """rows join table on keys, where table has one row per key with `many`, the rows under it.
+
+    Keys with very many of the `total` rows are dealt over several tasks by the hash of `member`, and their table row
+    is copied to each.  The list of those keys is broadcast; as each has at least 1/65,536 of all rows, it is bounded.
+    """
+    most = max(ROWS_A_TASK, total // TASK_SHARE)
+    salts = F.ceil(F.col("many") / most).cast("int")
+    hot = table.where(F.col("many") > most).select(*keys, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(member), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), salts) - 1))).drop("many")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def by_group(df: DataFrame, keys: list[str], f: Callable, schema: str) -> DataFrame:
     """mapInArrow(f) over partitions in which the rows of each group stand together."""
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(f, schema)
@@ -123,21 +141,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node.
 
     Alternates large-star and small-star steps until the edges are a forest of stars; the number of rounds grows
-    with the logarithm of the longest path.  Each step is a grouped minimum and an equi-join, so a node with very
-    many neighbours is pre-aggregated in the first and split by AQE in the second.  The state of a round is cut
-    with a table in the shared folder.
+    with the logarithm of the longest path.  Each step is a grouped minimum and an equi-join; a node with very many
+    neighbours is pre-aggregated in the first and dealt over tasks in the second.  The state of a round is cut with a
+    table in the shared folder, which goes when the next is written.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stored(e, "cc")
-    before = None
+    before, size = None, e.count()
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = stored(small.distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")).select("u", F.least("u", "m").alias("m"), "many")
+        large = salted_join(both, low, ["u"], "v", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
+        small = salted_join(large, low, ["u"], "v", size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        old, e = e, stored(small.distinct(), "cc")
+        dropped(old)
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")).first()
+        size = now["n"]
         if now == before:
             break
         before = now

@@ -230,15 +230,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = base.where("n > 0").join(sets.select("s1", "s2", "n", F.col("set_id").alias("id")), ["s1", "s2", "n", "id"], "left_semi").select("id", "n", "sketch").groupBy("id").agg(F.min(F.struct("n", "sketch")).alias("x")).select("id", "x.n", "x.sketch")
     nodes = common.stored(nodes, "nodes")
 
-    bands = nodes.select("id", "sketch").mapInArrow(_bands(HASHES, ROWS), "key long, id long")
-    full = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = bands.join(full, "key").join(nodes, "id").select("key", "m", "id", "n", "sketch")
+    bands = common.stored(nodes.select("id", "sketch").mapInArrow(_bands(HASHES, ROWS), "key long, id long"), "bands")
+    full = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("many", F.col("m"))
+    members = common.salted_join(bands, full, ["key"], "id", bands.count()).join(nodes, "id").select("key", "m", "id", "n", "sketch")
     dealt = common.in_blocks(members, "key", F.ceil(F.col("m") / BLOCK), F.col("id"))
     maybe = common.by_group(dealt, ["key", "bi", "bj"], _candidates(threshold, need, HASHES), "a long, b long")
     groups = common.stored(common.connected_components(maybe), "groups")
 
     sizes = groups.join(nodes.select("id", "n"), groups.node == nodes.id).groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
-    inside = groups.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("class"), "m", "words")
+    inside = common.salted_join(groups, sizes.withColumn("many", F.col("m")), ["component"], "node", groups.count()).select(F.col("node").alias("id"), F.col("component").alias("class"), "m", "words")
     texts = src.join(inside, "id").join(nodes, "id").dropDuplicates(["id"]).select("id", "class", "m", "words", "n", "sketch", "text").mapInArrow(_with_sets(width), "id long, class long, m long, words long, n int, sketch binary, shingles binary")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("words") / BLOCK_SHINGLES))
     dealt = common.in_blocks(texts, "class", blocks, F.col("id")).drop("m", "words")
@@ -246,5 +246,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     classes = common.connected_components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("n_links"))
-    per_set = sets.join(classes, sets.set_id == classes.node, "left").join(links, sets.set_id == links.a, "left").select("s1", "s2", "n", "set_id", "copies", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return base.join(per_set, ["s1", "s2", "n"], "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("set_id", "id").alias("set_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    per_set = sets.join(classes, sets.set_id == classes.node, "left").join(links, sets.set_id == links.a, "left").select("s1", "s2", "n", "set_id", "copies", F.col("copies").alias("many"), F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # rows without a shingle meet nothing; a set of very many copies is dealt over tasks
+    full, bare = base.where("n > 0").select("id", "s1", "s2", "n"), base.where("n = 0").select("id")
+    found = common.salted_join(full, per_set, ["s1", "s2", "n"], "id", base.count())
+    out = found.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("set_id", "id").alias("set_id"), "n_links", "copies")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    return out.unionByName(bare.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.col("id").alias("set_id"), zero.alias("n_links"), one.alias("copies")))

@@ -76,14 +76,17 @@ def scan_versions(versions: DataFrame, path_col: str, text_col: str, ledger: str
     known = spark.read.schema(LEDGER).parquet(at).where(F.col("rules") == version)
 
     rows = versions.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).withColumn("blob", blob_of(F.col("text")))
+    addressed = common.stored(rows.select("path", "blob"), "versions")
+    held = addressed.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("many"))
     # one version of each unseen blob; the texts are not part of this shuffle
-    unseen = rows.groupBy("blob").agg(F.min("path").alias("path")).join(known.select("blob"), "blob", "left_anti").select("blob", F.col("path").alias("_p"))
+    unseen = held.join(known.select("blob"), "blob", "left_anti").select("blob", F.col("path").alias("_p"))
     todo = rows.join(unseen, (rows["blob"] == unseen["blob"]) & rows["path"].eqNullSafe(unseen["_p"]), "left_semi")
     found = todo.select("blob", F.lit(version).alias("rules"), find_spans(F.col("text"), rules).alias("spans")).groupBy("blob", "rules").agg(F.first("spans").alias("spans"))
     found.write.mode("append").parquet(at)
 
     findings = spark.read.schema(LEDGER).parquet(at).where(F.col("rules") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
-    return rows.select("path", "blob").join(findings, "blob")
+    # all versions of one blob may be a large part of the table
+    return common.salted_join(addressed, held.select("blob", "many").join(findings, "blob"), ["blob"], "path", addressed.count()).select("path", "blob", "spans")
 
 
 def digest(scanned: DataFrame, rules: dict = RULES) -> DataFrame:

@@ -91,6 +91,38 @@ def test_pruning_keeps_what_may_reach_the_threshold():
         assert sum(math.comb(m, j) * 0.8**j * 0.2 ** (m - j) for j in range(n)) < 1e-5
 
 
+@pytest.fixture
+def cluster(spark, monkeypatch):
+    """Several shuffle partitions, adaptive execution, and keys that count as hot from four rows on."""
+    monkeypatch.setattr("callweave.llm.common.ROWS_A_TASK", 3)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    yield spark
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_keys_over_many_partitions(cluster, tmp_path):
+    words = prose(5, 60).split(" ")
+    group = [(1000 + i, " ".join([*words[:30], f"v{i % 12}", *words[31:]]), "en", "a", 1) for i in range(60)]
+    rows = odd_rows() + group + [(2000 + i, None, "en", "a", 1) for i in range(9)]
+    want = classes_by_hand([r for r in rows if r[0] != 11])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(frame(cluster, rows)).collect() if r["doc_id"] not in (None, 11)}
+    assert got == want
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(39, 100)]
+    got = {r["node"]: r["component"] for r in connected_components(cluster.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys({x for e in edges for x in e}, 0)
+    shards = sharding.assign_shards(frame(cluster, rows)).collect()
+    by = defaultdict(list)
+    for r in shards:
+        by[r["shard"]].append(r["slot"])
+    assert len(shards) == len(rows) and all(sorted(x) == list(range(len(x))) for x in by.values())
+    leak = [(i, "password = hunter2hunter2" if i % 2 else None, "en", "a", 1) for i in range(30)]
+    found = secrets.scan_versions(frame(cluster, leak), "doc_id", "text", f"{tmp_path}/ledger").collect()
+    assert len(found) == 30 and all(len(r["spans"]) == r["path"] % 2 for r in found)
+
+
 def test_similarity_of_nothing(spark):
     assert ngram_join.similarity_classes(empty(spark)).collect() == []
 
