@@ -32,6 +32,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _U = np.uint64
 #: Characters segmented together.
 ROOM = 1 << 21
+#: Characters of different words that are segmented at once.
+TABLE = 1 << 18
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -255,9 +257,13 @@ def encode(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     place = (np.arange(len(points)) - np.repeat(start, length)).astype(np.uint64)
     total = np.add.reduceat(mix(points.astype(np.uint64) | (place << _U(21))), start) + mix(length.astype(np.uint64))
     _, seen, which = np.unique(total, return_index=True, return_inverse=True)
-    own = chain.gather(start, length, seen)
+    found = []
+    # some of the different words at a time: the table of piece scores holds that many characters, or one longer word
     n = length[seen]
-    ids, count = _segment(model, points[own], np.cumsum(n) - n, n)
+    for some in np.split(np.arange(len(seen)), np.flatnonzero(np.diff((np.cumsum(n) - 1) // TABLE)) + 1):
+        own, k = chain.gather(start, length, seen[some]), n[some]
+        found.append(_segment(model, points[own], np.cumsum(k) - k, k))
+    ids, count = (np.concatenate(x) for x in zip(*found))
     flat = ids[chain.gather(np.cumsum(count) - count, count, which)]
     owner = np.searchsorted(np.cumsum(sizes), start, side="right")
     return flat.astype(np.int32), np.bincount(owner, weights=count[which], minlength=len(texts)).astype(np.int64)

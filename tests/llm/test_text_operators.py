@@ -459,6 +459,15 @@ def test_best_sum_by_brute_force():
             assert math.isclose(total, best("\u2581" + "".join(letters)))
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    m = sentencepiece_codec.load(sentencepiece_codec.MODEL)
+    texts = [prose(21, 60_000), "x", "ab" * 20_000, None, prose(22, 500), "é" * 3000]
+    whole = sentencepiece_codec.encode(m, texts)
+    monkeypatch.setattr(sentencepiece_codec, "TABLE", 64)
+    assert all((a == b).all() for a, b in zip(whole, sentencepiece_codec.encode(m, texts)))
+    assert sentencepiece_codec.decode(m, *whole) == [(t or "").encode() for t in texts]
+
+
 def test_round_trips(spark):
     got = {r["doc_id"]: r for r in sentencepiece_codec.encode_documents(frame(spark)).collect()}
     assert got[4]["ids"] == [] and got[5]["round_trip"]
