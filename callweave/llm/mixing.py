@@ -71,17 +71,32 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     Null texts and texts of white space have size 0; null sources are one source.  A source of size 0 has target 0
     and no copies.  Rows that repeat an id stand side by side in the order.  An empty table gives no rows.
     """
-    d = docs.select(F.lit(None).cast("long").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
-    return _planned(common.stored(d, "mix-sizes"), **options).drop("row")
+    return _planned(common.stored(_sized(docs, id_col, text_col, source_col), "mix-sizes"), **options)
 
 
-def _planned(d: DataFrame, **options) -> DataFrame:
-    """The plan of a stored table (row, doc_id, source, size, tie); row passes through, tie orders what else is equal."""
-    ranges = max(1, -(-d.count() // ROWS_PER_RANGE))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size and tie, the hash of the whole row (but for maps, which have none)."""
+    return docs.select(*_sizes(docs, id_col, text_col, source_col))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")]
+
+
+def _planned(sizes: DataFrame, full: DataFrame | None = None, **options) -> DataFrame:
+    """The plan of a stored table (doc_id, source, size, tie); tie orders what else is equal.
+
+    full: the same rows with further columns, which pass through.
+    """
+    ranges = max(1, -(-sizes.count() // ROWS_PER_RANGE))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = d.withColumn("_h", order).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
-    sums = d.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
-    sums = common.stored(sums, "mix-sums")
+
+    def ranged(t: DataFrame) -> DataFrame:
+        return t.withColumn("_h", order).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
+
+    sums = common.stored(ranged(sizes).groupBy("source", "_b").agg(F.sum("size").alias("_sum")), "mix-sums")
+    d = ranged(sizes if full is None else full)
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), **options)
     before = sums.withColumn("_off", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     small = before.join(targets, before.source.eqNullSafe(targets.source)).select(before.source.alias("_s"), F.col("_b").alias("_b2"), "_off", "source_size", "target", "start", "end")
@@ -96,17 +111,19 @@ def _planned(d: DataFrame, **options) -> DataFrame:
     # a sequence from 0 to -1 would run backwards
     x = x.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("copies") - 1)), at)).otherwise(F.array().cast("array<double>")))
     nth = lambda k: F.try_element_at("positions", F.lit(k))
-    return x.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions", nth(1).alias("position"), nth(2).alias("position2"))
+    more = [c for c in (full.columns if full is not None else ()) if c not in sizes.columns]
+    return x.select(*more, "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions", nth(1).alias("position"), nth(2).alias("position2"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns, range-sorted by position.
 
-    The rows are stored with a number each, by which they find their plan: so rows with a null id, and rows that
-    repeat an id, are each taken as often as planned.  A row travels as one value, so no column of it can clash.
+    Sizes are summed first, apart from the texts; then the rows travel whole to their range of the source's order, are
+    planned there, and go on to their positions.  So no plan is joined back: rows with a null id, and rows that repeat
+    an id, are each taken as often as planned, and no column of theirs can clash.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), whole.alias("doc"))
-    rows = common.stored(numbered, "mix-rows")
-    plan = _planned(rows.drop("doc"), **options).where("copies > 0").select("row", F.explode("positions").alias("at"))
-    return rows.select("row", "doc_id", "doc").join(plan, "row").sort("at", "doc_id").select("doc.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    sizes = common.stored(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    full = docs.select(whole, *_sizes(docs, id_col, text_col, source_col))
+    plan = _planned(sizes, full, **options).where("copies > 0")
+    return plan.select("doc", "doc_id", F.explode("positions").alias("at")).sort("at", "doc_id").select("doc.*")

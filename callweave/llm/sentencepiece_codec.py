@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _U = np.uint64
 #: Characters segmented together.
-ROOM = 1 << 21
+ROOM = 1 << 20
 #: Characters of different words that are segmented at once.
 TABLE = 1 << 18
 
