@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.lookups import known_edges
-from callweave.operators.storage import stored
+from callweave.operators.storage import dropped, stored
 from callweave.operators.traverse import LOCAL_EDGES, local_graph
 
 
@@ -23,6 +23,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
 
 def _coloured(e: DataFrame) -> DataFrame:
     """Forward colouring: the least id that reaches a node is its colour; what the id reaches backwards within its colour is its component."""
+    spark = e.sparkSession
     nodes = stored(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), "nodes")
     e = stored(e.where("src <> dst"), "edges")
     done = None
@@ -35,19 +36,22 @@ def _coloured(e: DataFrame) -> DataFrame:
             jump = colour.select(F.col("id").alias("c"), F.col("c").alias("j"))
             new = stored(new.join(jump, "c").select("id", F.least("c", "j").alias("c")), "colour")
             moved = not new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old").isEmpty()
+            dropped(spark, colour)
             colour = new
             if not moved:
                 break
         # backwards from each colour's root, inside the colour
         cs, cd = colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
         inner = stored(e.join(cs, "src").join(cd, "dst").where("cs = cd").select("src", "dst", "cs"), "inner")
-        found = front = stored(colour.where("id = c"), "found")
+        found = front = first = stored(colour.where("id = c"), "found")
         while True:
             new = inner.join(front, inner.dst == front.id).select(F.col("src").alias("id"), F.col("cs").alias("c")).distinct().join(found, "id", "left_anti")
             front = stored(new, "front")
             if front.isEmpty():
                 break
-            found = stored(found.unionByName(front), "found")
+            old, found = found, stored(found.unionByName(front), "found")
+            if old is not first:
+                dropped(spark, old)
         part = found.select("id", F.col("c").alias("component"))
         done = part if done is None else stored(done.unionByName(part), "done")
         nodes = stored(nodes.join(found, "id", "left_anti"), "nodes")

@@ -94,6 +94,26 @@ def test_cycles_leave_out_inferred_and_hook_edges(spark):
     assert components.cycles(df, exclude=()).count() == 5
 
 
+def test_searches_over_many_partitions(spark):
+    """Grouping must hold with several shuffle partitions and adaptive execution too."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        edges = random_edges(9, 40, 90)
+        adj = adjacency(edges)
+        seeds = spark.createDataFrame([(s,) for s in adj], "id long")
+        want = {(s, n): d for s in adj for n, d in levels(adj, s, 4).items()}
+        for limit in (10**6, 0):
+            got = {(r["seed"], r["id"]): r["depth"] for r in traverse.reachable(frame(spark, edges), seeds, "callees", 4, local_edges=limit).collect()}
+            assert got == want
+        a, b = ({r["id"]: r["component"] for r in components.strong_components(frame(spark, edges), local_edges=n).collect()} for n in (10**6, 0))
+        assert a == b
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def betweenness_by_hand(edges):
     adj = adjacency(edges)
     score = dict.fromkeys(adj, 0.0)

@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 import subprocess
 import time
 
@@ -212,6 +213,37 @@ def test_watching_a_tree(spark, tree, tmp_path):
     assert DependencyGraph(spark, tree).find("other")["matches"]
 
 
+def test_a_table_of_an_older_schema(spark, tree):
+    """A version written before a column existed reads with nulls there, and the next index carries it over."""
+    snapshot.index(spark, tree)
+    snaps = snapshot.Snapshots(spark, tree)
+    at = os.path.join(tree, ".callweave", snaps.current())
+    names = {r["name"] for r in snaps.table("symbols").collect()}
+    snaps.table("symbols").drop("signature", "end_byte").coalesce(1).write.parquet(f"file://{at}/older")
+    shutil.rmtree(os.path.join(at, "symbols"))
+    os.rename(os.path.join(at, "older"), os.path.join(at, "symbols"))
+    old = snaps.table("symbols").collect()
+    assert {r["name"] for r in old} == names and all(r["signature"] is None and r["end_byte"] is None for r in old)
+    put(tree, {"shop/later.py": "def later():\n    return 1\n"})
+    done = snapshot.index(spark, tree)
+    assert done["reindexed"] == 1 and "healed" not in done
+    now = {r["name"]: r["signature"] for r in snaps.table("symbols").collect()}
+    assert names | {"later"} == set(now) and now["later"] == "def later():"
+
+
+def test_a_damaged_table_is_found_by_its_footer(spark, tree):
+    snapshot.index(spark, tree)
+    snaps = snapshot.Snapshots(spark, tree)
+    at = os.path.join(tree, ".callweave", snaps.current(), "refs")
+    for name in os.listdir(at):
+        if name.endswith(".parquet"):
+            with open(os.path.join(at, name), "r+b") as f:
+                f.truncate(10)
+    with pytest.raises(snapshot.Corrupt):
+        snaps.check()
+    assert snapshot.index(spark, tree)["healed"]
+
+
 def test_a_change_before_the_watcher_starts(spark, tree, tmp_path):
     snapshot.index(spark, tree)
     put(tree, {"shop/early.py": "def early():\n    return 1\n"})
