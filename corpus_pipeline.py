@@ -68,10 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages over documents.  A stage's table goes when the next one is written; the last one's stays."""
+    docs, before = common.read(spark, sf_dir, "documents"), None
     at = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{at}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{at}/{name}")
+        if before is not None:
+            common.dropped(before)
+        before = docs
     return docs
