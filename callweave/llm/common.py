@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,35 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; before each, memory that the one before freed goes back to the system.
+
+    Python workers outlive their stage and would keep their peak beside the next stage's.
+    """
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+        yield batch
+        del batch
+
+
+def some_texts(column: pa.Array, room: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of a column, some at a time: (place of the first, texts of about `room` characters or one longer)."""
+    lo, held, part = 0, 0, []
+    for k in range(len(column)):
+        t = column[k].as_py()
+        if part and held + len(t or "") > room:
+            yield lo, part
+            lo, held, part = k, 0, []
+        part.append(t)
+        held += len(t or "")
+    if part:
+        yield lo, part
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with the offsets of their groups, from batches whose equal keys stand together.
 
@@ -74,7 +104,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
     group longer than a batch makes it larger.
     """
     rest: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in trimmed(batches):
         if not batch.num_rows:
             continue
         rest.append(batch)

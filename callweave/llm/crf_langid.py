@@ -236,11 +236,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _labelled(model, folds_col: bool):
     def run(batches):
-        for batch in batches:
+        for batch in common.trimmed(batches):
             crf = model.value
-            texts = batch.column("text").to_pylist()
             pred, score, count, switches = [], [], [], []
-            for part in _by_size(texts):
+            for _, part in common.some_texts(batch.column("text"), 1 << 19):
                 if crf is None:
                     n = np.zeros(len(part), dtype=np.int64)
                 else:
@@ -267,18 +266,6 @@ def _labelled(model, folds_col: bool):
     return run
 
 
-def _by_size(texts: list[str | None], room: int = 1 << 20):
-    part, held = [], 0
-    for t in texts:
-        if part and held + len(t or "") > room:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t or "")
-    if part:
-        yield part
-
-
 def label_words(crf: Crf, text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, language, probability) of every word of a text, in code points of its lower-cased form."""
     code, start, end, n = _encoded([text])

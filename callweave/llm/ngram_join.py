@@ -112,24 +112,27 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 def _sketches(width: int, hashes: int):
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sets = [shingle_set(t, width) for t in texts]
-            full = [k for k, s in enumerate(sets) if len(s)]
-            sk: list[bytes | None] = [None] * len(sets)
-            s1: list[int | None] = [None] * len(sets)
-            s2: list[int | None] = [None] * len(sets)
-            if full:
-                low = (minhashes([sets[k] for k in full], hashes) & np.uint64(0xFFFF)).astype(np.uint16)
-                for row, k in zip(low, full):
-                    sk[k] = row.tobytes()
-                    s1[k] = int(sets[k].sum(dtype=np.uint64).astype(np.int64))
-                    s2[k] = int(mix(sets[k] ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sk, pa.binary())], names=["id", "s1", "s2", "n", "sketch"])
+        for batch in common.trimmed(batches):
+            for lo, texts in common.some_texts(batch.column(1)):
+                yield _sketched(batch.column(0).slice(lo, len(texts)), [shingle_set(t, width) for t in texts], hashes)
 
     return run
 
 
+def _sketched(ids: pa.Array, sets: list[np.ndarray], hashes: int) -> pa.RecordBatch:
+    full = [k for k, s in enumerate(sets) if len(s)]
+    sk: list[bytes | None] = [None] * len(sets)
+    s1: list[int | None] = [None] * len(sets)
+    s2: list[int | None] = [None] * len(sets)
+    if full:
+        low = (minhashes([sets[k] for k in full], hashes) & np.uint64(0xFFFF)).astype(np.uint16)
+        for row, k in zip(low, full):
+            sk[k] = row.tobytes()
+            s1[k] = int(sets[k].sum(dtype=np.uint64).astype(np.int64))
+            s2[k] = int(mix(sets[k] ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sk, pa.binary())], names=["id", "s1", "s2", "n", "sketch"])
+
+
 def _bands(hashes: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -169,10 +172,12 @@ def _candidates(threshold: float, need: list[int], hashes: int):
 
 def _with_sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in common.trimmed(batches):
             at = batch.schema.get_field_index("text")
-            sets = pa.array([shingle_set(t, width).tobytes() for t in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([sets if k == at else batch.column(k) for k in range(batch.num_columns)], names=["shingles" if k == at else f.name for k, f in enumerate(batch.schema)])
+            names = ["shingles" if k == at else f.name for k, f in enumerate(batch.schema)]
+            for lo, texts in common.some_texts(batch.column(at)):
+                sets = pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([sets if k == at else batch.column(k).slice(lo, len(texts)) for k in range(batch.num_columns)], names=names)
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm import chain
+from callweave.llm import chain, common
 from callweave.llm.shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -278,28 +278,16 @@ def decode(model: Model, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [x[1:] if model.prefix and x[:1] == b" " else x for x in out]
 
 
-def _parts(texts: list[str | None]):
-    lo = held = 0
-    for k, t in enumerate(texts):
-        if k > lo and held + len(t or "") > ROOM:
-            yield lo, k
-            lo, held = k, 0
-        held += len(t or "")
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _encoded(sent):
     def run(batches):
-        for batch in batches:
-            m, texts = sent.value, batch.column(1).to_pylist()
-            for lo, hi in _parts(texts):
-                part = texts[lo:hi]
+        for batch in common.trimmed(batches):
+            m = sent.value
+            for lo, part in common.some_texts(batch.column(1), ROOM):
                 ids, counts = encode(m, part)
                 back = decode(m, ids, counts)
                 same = [b == (t or "").encode("utf-8", "surrogatepass") for b, t in zip(back, part)]
                 pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pieces, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(counts), pieces, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     return run
 
