@@ -93,16 +93,19 @@ def _planned(sizes: DataFrame, full: DataFrame | None = None, **options) -> Data
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
     def ranged(t: DataFrame) -> DataFrame:
+        # a null source is a key like any other, so that window and join share one way of dealing rows
+        t = t.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
         return t.withColumn("_h", order).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
 
     sums = common.stored(ranged(sizes).groupBy("source", "_b").agg(F.sum("size").alias("_sum")), "mix-sums")
     d = ranged(sizes if full is None else full)
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), **options)
-    before = sums.withColumn("_off", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    small = before.join(targets, before.source.eqNullSafe(targets.source)).select(before.source.alias("_s"), F.col("_b").alias("_b2"), "_off", "source_size", "target", "start", "end")
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    place = ["_k", "_n", "_b"]
+    before = sums.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull()).withColumn("_off", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    small = before.join(targets, before.source.eqNullSafe(targets.source)).select(*place, "_off", "source_size", "target", "start", "end")
+    inside = Window.partitionBy(*place).orderBy("_h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    x = d.join(small, d.source.eqNullSafe(small["_s"]) & (d["_b"] == small["_b2"]))
+    x = d.join(small, place)
     x = x.withColumn("_at", F.col("_off") + F.col("_in")).withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     x = x.withColumn("_whole", F.floor("_ratio"))
     extra = (F.col("_at") + F.col("size") / 2) < (F.col("target") - F.col("_whole") * F.col("source_size"))
