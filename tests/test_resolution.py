@@ -223,3 +223,15 @@ def test_positions_survive_wide_characters(spark):
         raw = (src if s["file"] == "a.py" else js).encode()[s["start_byte"] : s["end_byte"]].decode()
         assert raw.startswith(("def " if s["file"] == "a.py" else "function ") + s["name"])
         assert s["signature"] == raw.splitlines()[0].strip()[:200]
+
+
+def test_site_counts_make_no_edges(spark, monkeypatch):
+    from callweave.operators import aggregates
+    from callweave.plans import queries, resolve
+    from callweave.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    r = resolve.resolve_refs(tables.facts(spark, sf, "symbols", "refs", "assigns"))
+    want = aggregates.site_counts(resolve.call_edges(r), resolve.unresolved_calls(r)).first().asDict()
+    monkeypatch.setattr(resolve, "candidates", None)
+    assert queries.site_counts(spark, sf).first().asDict() == want and want["edge_rows"] > want["edges_ambiguous"] > 0
