@@ -235,3 +235,23 @@ def test_site_counts_make_no_edges(spark, monkeypatch):
     want = aggregates.site_counts(resolve.call_edges(r), resolve.unresolved_calls(r)).first().asDict()
     monkeypatch.setattr(resolve, "candidates", None)
     assert queries.site_counts(spark, sf).first().asDict() == want and want["edge_rows"] > want["edges_ambiguous"] > 0
+
+
+def test_candidates_come_in_pieces(spark, monkeypatch):
+    from callweave.plans import queries, resolve
+
+    members = spark.range(3000).selectExpr("id % 2 as k", "id as dst")
+    got = resolve.pieces(members, ["k"]).collect()
+    assert sorted(x for r in got for x in r["dsts"]) == list(range(3000)) and 2 <= len(got) <= 6
+    assert all(x % 2 == r["k"] for r in got for x in r["dsts"])
+    # calls meet pieces and no single candidates, and the size of pieces changes no edge
+    sf, made = "/root/testdata/sf0.001", []
+    rows = lambda q: sorted(tuple(map(str, r)) for r in q(spark, sf).collect())
+    want = {q: rows(q) for q in (queries.resolve_edges, queries.module_edges)}
+    whole = resolve.sent
+    monkeypatch.setattr(resolve, "sent", lambda d, name: made.append(whole(d, name)) or made[-1])
+    monkeypatch.setattr(resolve, "PIECE", 2)
+    monkeypatch.setattr(resolve, "SENT", 0)
+    for q in want:
+        assert rows(q) == want[q]
+    assert made and all(max((len(r["dsts"]) for r in d.collect()), default=0) < 20 for d in made)
