@@ -255,3 +255,34 @@ def test_candidates_come_in_pieces(spark, monkeypatch):
     for q in want:
         assert rows(q) == want[q]
     assert made and all(max((len(r["dsts"]) for r in d.collect()), default=0) < 20 for d in made)
+
+
+def test_the_jvm_compiles_every_method_of_the_pools(spark, monkeypatch):
+    """HotSpot interprets methods of more than 8,000 bytes of code for ever."""
+    import re
+
+    from callweave.plans import resolve
+    from callweave.sources import tables
+
+    sizes, store = [], resolve.stored
+    module = spark._jvm.org.apache.spark.sql.execution.debug
+    code = getattr(getattr(module, "package$"), "MODULE$").codegenString
+
+    def seen(df, name):
+        if name == "refs":
+            sizes.append([int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", code(df._jdf.queryExecution().executedPlan()))])
+        return store(df, name)
+
+    conf = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK", "spark.sql.autoBroadcastJoinThreshold": "10MB"}
+    old = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(resolve, "stored", seen)
+    sf = "/root/testdata/sf0.001"
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for facts in (tables.facts(spark, sf, "symbols", "refs", "assigns"), tables.module_facts(spark, sf)):
+            resolve.call_sites(facts)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 2 and all(len(s) > 5 and min(s) > 0 and max(s) < 8000 for s in sizes), sizes
