@@ -31,6 +31,8 @@ HEAD, OWN, SHARED = 65_536, 2_048, 256
 STATES, ROUNDS = 8, 6
 SMOOTH = 0.1
 _FIXED = float(1 << 20)
+#: Characters of texts that a task holds at once, and tokens whose counts it looks up at once (a longer text is one).
+ROOM, LOOKED = 1 << 23, 1 << 17
 END = int(mix(np.array([0xE0F], dtype=np.uint64)).view(np.int64)[0])
 
 
@@ -52,10 +54,9 @@ def _flat(texts: list[str | None]):
 
 
 def _counts(batches):
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo in range(0, len(texts), 2000):
-            h, shared, _ = _flat(texts[lo : lo + 2000])
+    for batch in common.trimmed(batches):
+        for _, texts in common.some_texts(batch.column(0), ROOM // 2):
+            h, shared, _ = _flat(texts)
             word, at, n = np.unique(h, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shared[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "shared", "n"])
 
@@ -137,12 +138,13 @@ def maximised(counts: np.ndarray, classes: int, states: int) -> Model:
 
 def _as_classes(vocab):
     def run(batches):
-        for batch in batches:
-            texts, out = batch.column(0).to_pylist(), []
-            for t in texts:
-                h, shared = _tokens(t)
-                out.append(vocab.value.classes(vocab.value.find(h), shared).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["classes"])
+        for batch in common.trimmed(batches):
+            for _, texts in common.some_texts(batch.column(0), ROOM):
+                out = []
+                for t in texts:
+                    h, shared = _tokens(t)
+                    out.append(vocab.value.classes(vocab.value.find(h), shared).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["classes"])
 
     return run
 
@@ -150,7 +152,7 @@ def _as_classes(vocab):
 def _expected(model):
     def run(batches):
         total, log = None, 0.0
-        for batch in batches:
+        for batch in common.trimmed(batches):
             raw = batch.column(0).to_pylist()
             if raw:
                 counts, ll = expected_counts(model.value, np.frombuffer(b"".join(raw), dtype=np.uint16), np.array([len(x) // 2 for x in raw], dtype=np.int64))
@@ -185,50 +187,56 @@ _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_rest long,
 
 
 def _scored(vocab, model):
+    names = [f.split()[0] for f in _SCORED.split(", ")]
+
     def run(batches):
-        for batch in batches:
+        for batch in common.trimmed(batches):
             v, m = vocab.value, model.value
-            rows, ids, held, texts = (batch.column(k).to_pylist() for k in range(4))
-            for lo in range(0, len(texts), 4000):
-                h, shared, lengths = _flat(texts[lo : lo + 4000])
-                at = v.find(h)
-                cls = v.classes(at, shared)
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                offsets = np.cumsum(lengths) - lengths
+            for lo, texts in common.some_texts(batch.column(3), ROOM):
+                rows, ids, held = (batch.column(k).slice(lo, len(texts)) for k in range(3))
+                h, shared, lengths = _flat(texts)
+                end = np.cumsum(lengths)
+                at, cls = np.empty(len(h), dtype=np.int32), np.empty(len(h), dtype=np.uint16)
+                for k in range(0, len(h), LOOKED):
+                    here = slice(k, k + LOOKED)
+                    at[here] = v.find(h[here])
+                    cls[here] = v.classes(at[here], shared[here])
                 log = np.zeros(len(lengths))
                 for part in chain.chunks(lengths):
                     place, step = chain.time_order(lengths[part])
                     own = np.empty(len(place), dtype=np.int64)
-                    own[place] = cls[chain.gather(offsets, lengths, part)]
+                    own[place] = cls[chain.gather(end - lengths, lengths, part)]
                     log[part] = chain.log_likelihoods(step, chain.forward(step, m.emit[own], m.first, m.move, keep=False)[1])
                 log /= np.log(10)
-                in_head = at >= 0
-                c = np.where(in_head, v.head_n[at] if len(v.head) else 0, 0)
-                base = np.where(in_head, np.log10(np.maximum(c, 1) + SMOOTH), 0.0)
-                is_shared = cls >= v.own
-                log += np.bincount(doc, weights=np.where(is_shared, base - v.shared_log[np.where(is_shared, cls - v.own, 0)], 0.0), minlength=len(lengths))
-                n = len(lengths)
-                none = pa.nulls(n, pa.int64())
-                mine = slice(lo, lo + n)
-                rest = ~in_head
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows[mine], pa.int64()), pa.array(ids[mine], pa.int64()), pa.array(held[mine], pa.bool_()), pa.array(lengths),
-                    pa.array(np.bincount(doc[rest], minlength=n).astype(np.int64)), pa.array(np.bincount(doc[in_head], minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(doc, weights=base, minlength=n)), pa.array(log), none, none,
-                ], names=[f.split()[0] for f in _SCORED.split(", ")])
-                # words that need a lookup: one row for each different word of a document
-                d, w = doc[rest], h[rest]
-                if len(d):
-                    order = np.lexsort((w, d))
-                    d, w = d[order], w[order]
-                    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
-                    tf = np.diff(np.append(cut, len(d)))
-                    k = len(cut)
-                    row = np.array(rows[mine], dtype=np.int64)[d[cut]]
+                first = 0
+                while first < len(lengths):
+                    begin = end[first] - lengths[first]
+                    last = max(first + 1, int(np.searchsorted(end, begin + LOOKED, side="right")))
+                    here, mine = slice(begin, end[last - 1]), slice(first, last)
+                    n, first = last - first, last
+                    doc, in_head = np.repeat(np.arange(n), lengths[mine]), at[here] >= 0
+                    base = np.where(in_head, np.log10(np.maximum(v.head_n[at[here]] if len(v.head) else 0, 1) + SMOOTH), 0.0)
+                    is_shared = cls[here] >= v.own
+                    inside = np.where(is_shared, base - v.shared_log[np.where(is_shared, cls[here] - v.own, 0)], 0.0)
+                    rest = ~in_head
+                    of, none = rows.slice(mine.start, n), pa.nulls(n, pa.int64())
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(row), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                        pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(w[cut]), pa.array(tf.astype(np.int64)),
-                    ], names=[f.split()[0] for f in _SCORED.split(", ")])
+                        of, ids.slice(mine.start, n), held.slice(mine.start, n), pa.array(lengths[mine]),
+                        pa.array(np.bincount(doc[rest], minlength=n).astype(np.int64)), pa.array(np.bincount(doc[in_head], minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(doc, weights=base, minlength=n)), pa.array(log[mine] + np.bincount(doc, weights=inside, minlength=n)), none, none,
+                    ], names=names)
+                    # words that need a lookup: one row for each different word of a document
+                    d, w = doc[rest], h[here][rest]
+                    if len(d):
+                        order = np.lexsort((w, d))
+                        d, w = d[order], w[order]
+                        cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
+                        tf = np.diff(np.append(cut, len(d)))
+                        k = len(cut)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(of.to_numpy()[d[cut]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                            pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(w[cut]), pa.array(tf.astype(np.int64)),
+                        ], names=names)
 
     return run
 

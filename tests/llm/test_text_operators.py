@@ -5,10 +5,14 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +271,33 @@ def test_nothing_is_maximised_without_chains(spark):
     assert logs == [] and (model.emit == start.emit).all() and (model.move == start.move).all() and (model.first == start.first).all()
 
 
+def test_scoring_holds_some_tokens_at_once():
+    """A batch of a million tokens: what a Python worker holds and hands to the JVM at once is a part of it."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 250)) for _ in range(4000)]
+    texts[7], texts[8], texts[9] = None, "", "long " * 200_000
+    n = len(texts)
+    head = np.unique(np.concatenate([hmm_lm._tokens(t)[0] for t in texts[:5]]))
+    vocab = hmm_lm.Vocabulary(10_000, 900, head, np.full(len(head), 9), np.full(len(head), -1), 0, np.zeros(hmm_lm.SHARED))
+    scored = hmm_lm._scored(SimpleNamespace(value=vocab), SimpleNamespace(value=hmm_lm.initial(hmm_lm.SHARED)))
+    batch = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(range(lo, hi)), pa.array(range(lo, hi)), pa.array([False] * (hi - lo)), pa.array(texts[lo:hi], pa.string())], names=["row", "doc_id", "held_out", "text"])
+    rows = lambda out: {(r["row"], r["word"]): {k: x if k != "log" or x is None else round(x, 4) for k, x in r.items()} for b in out for r in b.to_pylist()}
+    whole, some = batch(0, n), [k for k in range(0, n, 997)] + [7, 8, 9]
+    want = rows(b for k in some for b in scored(iter([batch(k, k + 1)])))
+    tracemalloc.start()
+    most, sizes, seen = 0, [], {}
+    for b in scored(iter([whole])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        sizes.append(b.num_rows)
+        keep = b.filter(pa.compute.is_in(b.column(0), pa.array(some)))
+        del b
+        seen |= rows([keep])
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert seen == want and sum(sizes) > 900_000
+    assert max(sizes) <= hmm_lm.LOOKED and most < 100e6, (max(sizes), most)
+
+
 def test_scores_of_nothing(spark):
     assert hmm_lm.score(empty(spark)).collect() == []
 
