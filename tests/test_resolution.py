@@ -257,6 +257,15 @@ def test_candidates_come_in_pieces(spark, monkeypatch):
     assert made and all(max((len(r["dsts"]) for r in d.collect()), default=0) < 20 for d in made)
 
 
+def test_rows_are_made_by_one_step_after_the_branches(spark):
+    """Branches hand on pieces, so that a reader of the rows is compiled with the step that makes them."""
+    from callweave.plans import queries
+
+    for q in (queries.module_edges, queries.resolve_edges):
+        plan = q(spark, "/root/testdata/sf0.001").groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode(dsts") == 1 and plan.index("Generate explode(dsts") < plan.index("Union"), plan
+
+
 def test_the_jvm_compiles_every_method_of_the_pools(spark, monkeypatch):
     """HotSpot interprets methods of more than 8,000 bytes of code for ever."""
     import re
