@@ -266,6 +266,41 @@ def test_rows_are_made_by_one_step_after_the_branches(spark):
         assert plan.count("Generate explode(dsts") == 1 and plan.index("Generate explode(dsts") < plan.index("Union"), plan
 
 
+def test_rows_of_calls_that_ask_the_same_stand_together(spark, monkeypatch):
+    """Files of edges hold runs of one call and repeats of one piece, so they stay small; bundles and tasks change no edge."""
+    from callweave.plans import queries, resolve
+    from callweave.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    for facts in (tables.module_facts(spark, sf), tables.facts(spark, sf, "symbols", "refs", "assigns")):
+        rows = resolve.resolve_refs(facts).where("resolution <> 'unresolved'").collect()
+        turns = sum(a["callee"] != b["callee"] for a, b in zip(rows, rows[1:]))
+        assert len({r["ref_id"] for r in rows}) > 3000 > 4 * turns > 0, turns
+    want = {q: sorted(tuple(map(str, r)) for r in q(spark, sf).collect()) for q in (queries.resolve_edges, queries.module_edges)}
+    for k, v in {"BUNDLE": 2, "CALLS": 1500, "PIECE": 3}.items():
+        monkeypatch.setattr(resolve, k, v)
+    for q in want:
+        assert sorted(tuple(map(str, r)) for r in q(spark, sf).collect()) == want[q]
+
+
+def test_other_classes_of_a_bunch(spark, monkeypatch):
+    """A call of a parent leaves out its own class wherever its methods lie in a bunch."""
+    from callweave.model import Facts
+    from callweave.plans import resolve
+
+    monkeypatch.setattr(resolve, "PIECE", 4)
+    symbols = [(10 * c + i, f"f{c}.py", "go", "method", f"C{c}", "python") for c in range(3) for i in range(c + 2)]
+    symbols += [(100 + c, f"f{c}.py", f"call{c}", "method", f"C{c}", "python") for c in range(4)] + [(200, "g.py", "top", "function", None, "python")]
+    refs = [(c, f"f{c}.py", "python", "go", "super()", 1, 100 + c) for c in range(4)] + [(9, "g.py", "python", "go", "super()", 1, 200)]
+    f = Facts(
+        spark, symbols=spark.createDataFrame(symbols, "id long, file string, name string, kind string, container string, lang string"),
+        refs=spark.createDataFrame(refs, "id long, file string, lang string, callee string, receiver string, line int, src_symbol long"),
+    )
+    got = {(r["ref_id"], r["dst"]) for r in resolve.resolve_refs(f).collect()}
+    goes = [(x[0], x[4]) for x in symbols if x[2] == "go"]
+    assert got == {(r[0], d) for r in refs for d, c in goes if c != f"C{r[0]}"}
+
+
 def test_the_jvm_compiles_every_method_of_the_pools(spark, monkeypatch):
     """HotSpot interprets methods of more than 8,000 bytes of code for ever."""
     import re
